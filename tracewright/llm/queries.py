@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from .common import crc_fold, table
 
 
+def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import bitplane
+
+    return bitplane.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -29,5 +37,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op8_language_id, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_token_planes, op4_toxicity, op8_language_id, op10_secret_scan)}
 ORACLES: dict[str, str] = {}

@@ -44,7 +44,7 @@ class ToxSettings:
     max_rows: int = 3000
     swap_penalty: float = 1.0
     pairs: tuple[tuple[str, str], ...] = IDENTITY_PAIRS
-    ftrl: FtrlSettings = FtrlSettings(alpha=0.5, l1=1.0, l2=1e-3, epochs=6, batch=16)
+    ftrl: FtrlSettings = FtrlSettings(alpha=0.5, l1=30.0, l2=1e-3, epochs=8, batch=16)
 
 
 @dataclass(frozen=True)
@@ -91,6 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: ToxSettings = ToxSetting
 
     rows = _sample(docs, labels, settings).mapInPandas(run, "doc_id string, toxic int, own binary, other binary")
     sample = rows.limit(settings.max_rows * 4).toPandas().sort_values(["doc_id", "toxic"], kind="stable")
+    sample = sample.drop_duplicates(["own", "other", "toxic"])  # copies would count a text many times
     return fit(sample, settings) if sample["toxic"].nunique() == 2 else None
 
 
