@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -156,19 +157,47 @@ class ShardReader:
             yield name, parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+def _letters_only(word: str) -> bool:
+    """Letters now, and still letters once normalised and lowered."""
+    return word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word) and word.lower().isalpha())
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write a byte that does not print as a letter from U+0100 on, in order."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(prints)]
+    return {b: 0x100 + k for k, b in enumerate(hidden)}
+
+
+_ENCODERS: dict = {}
+
+
+def encoder_of(path: str, end_id: int | None) -> "WordEncoder":
+    """This worker process's encoder; its cache outlives a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path, end_id)
+    _ENCODERS[path].end_id = end_id
+    return _ENCODERS[path]
+
+
 class WordEncoder:
     """Encodes texts through a cache of space-delimited pieces.
 
     The tokenizer's own rules never join characters across a plain space or newline,
-    so a text's ids are the concatenated ids of the pieces between them.
+    so a text's ids are the concatenated ids of the pieces between them. It lowers
+    letters and parts a run of letters from a full stop or comma, so a piece made of
+    letters and one such sign gets the ids of the lowered letters, then the sign's.
     """
 
-    def __init__(self, path: str, end_id: int | None, most: int = 400_000, most_chars: int = 8_000_000) -> None:
+    def __init__(self, path: str, end_id: int | None, most: int = 700_000, most_chars: int = 12_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.most, self.most_chars = most, most_chars
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.letters = _byte_letters()
+        self.signs = dict(zip(".,", self._plain([".", ","]), strict=True))
         self._clear()
 
     def _clear(self) -> None:
@@ -178,12 +207,45 @@ class WordEncoder:
         self.sizes = np.empty(1 << 14, dtype=np.int64)
         self.used = self.chars = 0
 
+    def _stem(self, word: str) -> list[int] | None:
+        """Ids by the model alone, for what the rules before it leave as one run of letters."""
+        plain = word if word.isascii() else self.normalizer.normalize_str(word)
+        if not plain.isalpha():
+            return None
+        if not word.isascii():
+            plain = plain.encode("utf-8").decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(plain)]
+
+    def _plain(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _pieces(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word; only stems that are not known yet go to the tokenizer."""
+        stems, tails = [], []
+        for w in words:
+            stem, tail = (w[:-1], w[-1]) if w[-1:] in (".", ",") and _letters_only(w[:-1]) else (w, "")
+            stems.append(stem.lower() if stem.isalpha() and stem.isascii() else stem)
+            tails.append(tail)
+        known: dict[str, list[int]] = dict.fromkeys(stems, [])
+        new = []
+        for stem in known:
+            code = self.codes.get(stem)
+            if code is None:
+                new.append(stem)
+            else:
+                known[stem] = self.flat[self.starts[code] : self.starts[code] + self.sizes[code]].tolist()
+        known.update((stem, self._stem(stem)) for stem in new)
+        other = [stem for stem in new if known[stem] is None]
+        known.update(zip(other, self._plain(other), strict=True))
+        return [known[s] + self.signs[t] if t else known[s] for s, t in zip(stems, tails, strict=True)]
+
     def _learn(self, words: list[str]) -> None:
         known = len(self.codes)
-        fresh = list({w: None for w in words if w not in self.codes})
+        codes = self.codes
+        fresh = list({w: None for w in words if w not in codes})
         for a in range(0, len(fresh), 5000):
             part = fresh[a : a + 5000]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            got = self._pieces(part)
             sizes = np.array([len(x) for x in got], dtype=np.int64)
             need = self.used + int(sizes.sum())
             while need > len(self.flat):
@@ -240,7 +302,7 @@ def write_planes(docs: DataFrame, tokenizer: str, end_id: int | None, folder: st
         shard = task.partitionId()
         path = f"{top}/shard-{shard:06d}-{task.taskAttemptId()}.twbp"
         writer = sink = None
-        encoder = WordEncoder(tokenizer, end_id)
+        encoder = encoder_of(tokenizer, end_id)
         for frame in row_batches(frames):
             ids, counts = encoder.encode(frame["text"].tolist())
             if writer is None:

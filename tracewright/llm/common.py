@@ -10,6 +10,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,3 +98,30 @@ def row_batches(frames, budget: int = 2_000_000, column: str = "text"):
             used += size
         if start < len(frame):
             yield frame.iloc[start:]
+
+
+BLOOM_BITS = 1 << 26
+
+
+def bloom(ids: DataFrame, column: str, bits: int = BLOOM_BITS):
+    """A Bloom filter of a column of longs, of a fixed size whatever the data, as a broadcast.
+
+    It only spares work ahead of a join: fuller filters let more rows through.
+    """
+    hashed = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64(column, F.lit(k)), F.lit(bits)) for k in range(2)))).alias("bit"))
+    blocks = hashed.groupBy(F.floor(F.col("bit") / 32768).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("map"))
+    table = np.zeros(bits // 8, dtype=np.uint8)
+    for row in blocks.collect():  # at most bits / 32768 blocks of 4 KB
+        table[row["block"] * 4096 : row["block"] * 4096 + len(row["map"])] = np.frombuffer(row["map"], np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(table)
+
+
+def in_bloom(column: str, shared, bits: int = BLOOM_BITS) -> Column:
+    @F.pandas_udf("boolean")
+    def test(a: pd.Series, b: pd.Series) -> pd.Series:
+        table, hit = shared.value, np.ones(len(a), dtype=bool)
+        for at in (a.to_numpy(), b.to_numpy()):
+            hit &= (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return pd.Series(hit)
+
+    return test(*(F.pmod(F.xxhash64(column, F.lit(k)), F.lit(bits)) for k in range(2)))

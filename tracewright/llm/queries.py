@@ -24,6 +24,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(docs, labels, crc_fold("doc_id", 5) == 0).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -37,5 +49,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_planes, op4_toxicity, op8_language_id, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_token_planes, op3_ngram_jaccard, op4_toxicity, op5_suffix_dedup, op8_language_id, op10_secret_scan)}
 ORACLES: dict[str, str] = {}
