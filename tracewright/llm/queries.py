@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import crc_fold, table
 
 
+def op1_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mtree
+
+    return mtree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,6 +42,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -49,5 +61,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_planes, op3_ngram_jaccard, op4_toxicity, op5_suffix_dedup, op8_language_id, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_token_planes, op3_ngram_jaccard, op4_toxicity, op5_suffix_dedup, op6_decontaminate, op8_language_id, op10_secret_scan)}
 ORACLES: dict[str, str] = {}

@@ -86,6 +86,25 @@ def word_hashes(texts, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
 _ORDER = mix(np.arange(11, 31, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
+def rolled_shingles(words: np.ndarray, width: int, fixed: bool = False) -> np.ndarray:
+    """Hashes of the word sequences of ``width``; if there are fewer words, of all of them.
+
+    ``fixed``: sequences of fewer words than a shingle has, hashed as whole short texts are.
+    """
+    if fixed or len(words) < width:
+        n = width if fixed else len(words)
+        if not n or len(words) < n:
+            return np.empty(0, np.uint64)
+        total = np.full(len(words) - n + 1, 0x51ED27 + n, dtype=np.uint64)
+        for k in range(n):
+            total += words[k : k + len(total)] * _ORDER[5 + k]
+        return mix(total)
+    rolled = np.zeros(len(words) - width + 1, dtype=np.uint64)
+    for k in range(width):
+        rolled += words[k : k + len(rolled)] * _ORDER[k]
+    return mix(rolled)
+
+
 def shingle_sets(texts, width: int = 5) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its ``width``-word shingles.
 
@@ -93,21 +112,4 @@ def shingle_sets(texts, width: int = 5) -> list[np.ndarray]:
     words has none.
     """
     words, bounds = word_hashes(texts)
-    rolled = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
-    for k in range(width):
-        rolled += words[k : k + len(rolled)] * _ORDER[k]
-    rolled = mix(rolled)
-    out = []
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        n = b - a
-        if n >= width:
-            out.append(np.unique(rolled[a : b - width + 1]))
-        elif n:
-            total = np.uint64(0x51ED27 + int(n))
-            with np.errstate(over="ignore"):
-                for k in range(n):
-                    total = total + words[a + k] * _ORDER[width + k]
-            out.append(mix(np.array([total], dtype=np.uint64)))
-        else:
-            out.append(np.empty(0, np.uint64))
-    return out
+    return [np.unique(rolled_shingles(words[a:b], width)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
