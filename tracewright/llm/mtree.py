@@ -197,8 +197,9 @@ def _search(pages: DataFrame, queries: DataFrame, top: float, settings: TreeSett
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     keys = ("dim", "shard", "block")
-    blocks = queries.select("dim", "shard", "block").distinct()
-    dealt = pages.join(blocks, ["dim", "shard"])
+    queries = written(queries.select("query_id", "v", "bound", *keys), "queries")
+    blocks = queries.groupBy("dim", "shard").agg(F.collect_set("block").alias("blocks"))
+    dealt = pages.join(blocks, ["dim", "shard"]).withColumn("block", F.explode("blocks")).drop("blocks")
     return dealt.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
 
 
