@@ -211,6 +211,35 @@ def _matches(block: _Block, texts: list, settings: DecontamSettings) -> Iterator
         yield r, item, *found
 
 
+def _kept(matches, settings: DecontamSettings) -> Iterator[tuple]:
+    """Matches whose question, and answer where there is one, overlap enough."""
+    for match in matches:
+        if min(x for x in (*match[3:], 1.0) if x is not None) >= settings.least_overlap:
+            yield match
+
+
+def _holds(shared, settings: DecontamSettings):
+    @F.pandas_udf("boolean")
+    def holds(series_in: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in series_in:
+            flags = [np.zeros(0, dtype=bool)]
+            for frame in row_batches([series.to_frame("text")], 4_000_000):
+                flags.append(np.zeros(len(frame), dtype=bool))
+                for r, *_ in _kept(_matches(shared.value, frame["text"].tolist(), settings), settings):
+                    flags[-1][r] = True
+            yield pd.Series(np.concatenate(flags))
+
+    return holds("text")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, settings: DecontamSettings = DecontamSettings()) -> DataFrame:
+    """``docs`` without the rows that hold a test item."""
+    spark = ship(docs.sparkSession)
+    for block in _blocks(benchmark, settings):
+        docs = docs.where(~_holds(spark.sparkContext.broadcast(block), settings))
+    return docs
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontamSettings = DecontamSettings()) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of verified matches.
 
@@ -227,9 +256,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontamSettings = De
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for frame in row_batches(frames, 4_000_000):
                 rows = []
-                for r, item, score, question, answer in _matches(shared.value, frame["text"].tolist(), settings):
-                    if min(x for x in (question, answer, 1.0) if x is not None) >= settings.least_overlap:
-                        rows.append((frame["doc_id"].iloc[r], shared.value.item_ids[item], score, question, answer))
+                for r, item, score, question, answer in _kept(_matches(shared.value, frame["text"].tolist(), settings), settings):
+                    rows.append((frame["doc_id"].iloc[r], shared.value.item_ids[item], score, question, answer))
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         found = docs.select("doc_id", "text").where("text is not null").mapInPandas(run, schema)

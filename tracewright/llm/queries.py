@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import crc_fold, table
 
 
@@ -48,6 +49,21 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: A source's domain, and the target weights of each level, in SQL that both engines read.
+DOMAIN = "CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN 'web' WHEN source IN ('src4', 'src5', 'src6', 'src7', 'src8') THEN 'books' WHEN source = 'unknown' THEN 'none' ELSE 'forums' END"
+WEIGHTS = {
+    "domain": "CASE domain WHEN 'web' THEN 40 WHEN 'books' THEN 35 WHEN 'forums' THEN 24 ELSE 1 END",
+    "language": "CASE language WHEN 'en' THEN 50 WHEN 'de' THEN 20 WHEN 'fr' THEN 20 WHEN 'es' THEN 9 ELSE 1 END",
+    "source": "CASE source WHEN 'src0' THEN 3 WHEN 'src19' THEN 0 ELSE 2 END",
+}
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"), F.expr(DOMAIN), {k: F.expr(w) for k, w in WEIGHTS.items()})
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -55,11 +71,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, crc_fold("doc_id", 3) == 1).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import linedup
+
+    return linedup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_token_planes, op3_ngram_jaccard, op4_toxicity, op5_suffix_dedup, op6_decontaminate, op8_language_id, op10_secret_scan)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_token_planes, op3_ngram_jaccard, op4_toxicity, op5_suffix_dedup, op6_decontaminate, op7_mix_sources, op8_language_id, op9_line_dedup, op10_secret_scan)}
+ORACLES: dict[str, str] = {"op7_mix_sources": oracles.mix_sources(DOMAIN, WEIGHTS), "op9_line_dedup": oracles.LINE_DEDUP, "op1_mtree_top_k": oracles.TOP_K}
