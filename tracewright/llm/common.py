@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -28,9 +29,8 @@ def ship(spark: SparkSession) -> SparkSession:
     folder = Path(tempfile.mkdtemp(prefix="tracewright-"))
     target = folder / "tracewright_workers.zip"
     with zipfile.ZipFile(target, "w") as archive:
-        archive.write(package / "__init__.py", f"{package.name}/__init__.py")
-        for source in sorted((package / "llm").glob("*.py")):
-            archive.write(source, f"{package.name}/llm/{source.name}")
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, str(source.relative_to(package.parent)))
     sc.addPyFile(str(target))
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     setattr(sc, _SHIPPED, True)
@@ -70,6 +70,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table that :func:`written` made, once nothing reads it."""
     spark = df.sparkSession

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, in_bloom, row_batches, ship, written
+from .common import bloom, forget, in_bloom, row_batches, ship, written
 from .vectext import mix, powers
 
 _VALUES = mix(np.arange(501, 757, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -99,32 +99,48 @@ def _bytes_of(text) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b"", dtype=np.uint8)
 
 
-_PACKED = "part int, first binary, second binary, many binary, names binary, low binary, high binary, settled boolean"
+_PACKED = "part int, first binary, second binary, many binary, names binary, runs binary, low binary, high binary, settled boolean"
+
+
+def _runs(names: np.ndarray) -> tuple[bytes, bytes]:
+    """Names as runs: each name once, with the number of its entries in a row."""
+    cuts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.empty(0, np.int64)
+    return names[cuts].tobytes(), np.diff(np.append(cuts, len(names))).astype("<i4").tobytes()
+
+
+def _groups(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal keys."""
+    cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=False))
 
 
 def _pack(first, second, names, low, high, parts: int, deal: np.ndarray) -> pd.DataFrame:
-    """Rows by destination. Of equal (first, second) in the batch one goes on, marked; the rest are settled."""
+    """Rows by destination. Of equal (first, second) in the batch one goes on, marked; the rest are settled.
+
+    ``high`` is None where every range is one window.
+    """
     order = np.lexsort((second, first))
     a, b = first[order], second[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     heads = np.flatnonzero(new)
-    sizes = np.diff(np.append(heads, len(order)))
-    kept = order[heads]
+    many = np.zeros(len(order), dtype=bool)
+    many[order[heads]] = np.diff(np.append(heads, len(order))) > 1
+    kept = np.zeros(len(order), dtype=bool)
+    kept[order[heads]] = True
     rows = []
 
-    def add(chosen: np.ndarray, part: np.ndarray, many: np.ndarray, settled: bool) -> None:
-        by = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[by], prepend=-1))
-        for x, y in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
+    def add(chosen: np.ndarray, part: np.ndarray, settled: bool) -> None:
+        by = np.argsort(part, kind="stable")  # in the order of the texts, so that names form runs
+        for x, y in _groups(part[by]):
             c = chosen[by[x:y]]
-            empty = b"" if settled else None
-            rows.append((int(part[by[x]]), empty if settled else first[c].tobytes(), empty if settled else second[c].tobytes(), many[by[x:y]].tobytes(), names[c].tobytes(), low[c].tobytes(), high[c].tobytes(), settled))
+            hashes = (b"", b"", b"") if settled else (first[c].tobytes(), second[c].tobytes(), many[c].tobytes())
+            rows.append((int(part[by[x]]), *hashes, *_runs(names[c]), low[c].tobytes(), b"" if high is None else high[c].tobytes(), settled))
 
-    add(kept, (deal[kept] % np.uint64(parts)).astype(np.int64), sizes > 1, False)
-    rest = order[~new]
-    if len(rest):
-        add(rest, (mix(names[rest].view(np.uint64)) % np.uint64(parts)).astype(np.int64), np.ones(len(rest), bool), True)
+    chosen = np.flatnonzero(kept)
+    add(chosen, (deal[chosen] % np.uint64(parts)).astype(np.int64), False)
+    rest = np.flatnonzero(~kept)
+    add(rest, (mix(names[rest].view(np.uint64)) % np.uint64(parts)).astype(np.int64), True)
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _PACKED.split(", ")])
 
 
@@ -132,47 +148,77 @@ def _joined(group: pd.DataFrame, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(group[column]), dtype=kind)
 
 
-_RANGES = "name long, low binary, high binary, state binary"
+def _owners(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """name, low and high of every entry."""
+    low, high = _joined(group, "low", np.int32), _joined(group, "high", np.int32)
+    return np.repeat(_joined(group, "names", np.int64), _joined(group, "runs", "<i4")), low, high if len(high) else low
+
+
+_RANGES = "bucket int, names binary, runs binary, low binary, high binary, state binary"
 REPEATED, OPEN, SPOKESMAN = 1, 2, 3  # all windows repeat; to be looked at; repeats, and stands for its kind in pass 3
 
 
-def _by_name(names, low, high, state) -> pd.DataFrame:
-    order = np.argsort(names, kind="stable")
-    names, low, high, state = names[order], low[order], high[order], state[order]
-    cuts = np.flatnonzero(np.diff(names, prepend=names[0] - 1)) if len(names) else np.empty(0, np.int64)
-    ends = np.append(cuts[1:], len(names))
-    return pd.DataFrame({"name": names[cuts], "low": [low[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], "high": [high[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], "state": [state[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]})
+def _by_bucket(names, low, high, state, buckets: int) -> pd.DataFrame:
+    """A row for each bucket of names."""
+    bucket = (mix(names.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((low, names, bucket))
+    rows = []
+    for a, b in _groups(bucket[order]):
+        c = order[a:b]
+        rows.append((int(bucket[c[0]]), *_runs(names[c]), low[c].tobytes(), high[c].tobytes(), state[c].tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "names", "runs", "low", "high", "state"])
 
 
-def _settle(packed: DataFrame, second_kind, table, settings: DedupSettings) -> DataFrame:
-    """Per name the ranges of windows that repeat, or (with ``table``: pass 2) are still open."""
+def _settle(packed: DataFrame, second_kind, table, buckets: int, settings: DedupSettings) -> DataFrame:
+    """By bucket the ranges of windows that repeat, or (with ``table``: pass 2) are still open."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         done, group = group[group["settled"]], group[~group["settled"]]
-        parts = [(_joined(done, "names", np.int64), _joined(done, "low", np.int32), _joined(done, "high", np.int32), np.full(sum(map(len, done["names"])) // 8, REPEATED, np.uint8))]
+        names, low, high = _owners(done)
+        out = [(names, low, high, np.full(len(names), REPEATED, np.uint8))]
         first, second, many = _joined(group, "first", np.uint64), _joined(group, "second", second_kind), _joined(group, "many", bool)
-        names, low, high = _joined(group, "names", np.int64), _joined(group, "low", np.int32), _joined(group, "high", np.int32)
+        names, low, high = _owners(group)
         if len(first):
             order = np.lexsort((second, first))
             new_first = np.concatenate(([True], first[order][1:] != first[order][:-1]))
             new_both = new_first | np.concatenate(([True], second[order][1:] != second[order][:-1]))
             outer, inner = np.cumsum(new_first) - 1, np.cumsum(new_both) - 1
-            times = 1 + many[order].astype(np.int64)
-            repeats = np.bincount(inner, times)[inner] > 1
+            repeats = np.bincount(inner, 1 + many[order].astype(np.int64))[inner] > 1
             state = np.where(repeats, REPEATED, 0).astype(np.uint8)
             if table is not None:
                 hot = table.value[(first[order] >> np.uint64(64 - settings.table_bits)).astype(np.int64)] >= settings.hot
-                kinds = np.bincount(outer, new_both)[outer]
-                state[(kinds > 1) & ~repeats | hot & ~repeats] = OPEN
-                state[((kinds > 1) | hot) & repeats & new_both] = SPOKESMAN
+                mixed = (np.bincount(outer, new_both)[outer] > 1) | hot
+                state[mixed & ~repeats] = OPEN
+                state[mixed & repeats & new_both] = SPOKESMAN
             some = state > 0
             chosen = order[some]
-            parts.append((names[chosen], low[chosen], high[chosen], state[some]))
-        return _by_name(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            out.append((names[chosen], low[chosen], high[chosen], state[some]))
+        return _by_bucket(*(np.concatenate(x) for x in zip(*out, strict=True)), buckets)
 
     return packed.groupBy("part").applyInPandas(run, _RANGES)
 
 
+def _gathered(ranges: DataFrame, states: tuple[int, ...]) -> DataFrame:
+    """(name, low, high, windows): each text's ranges with one of ``states``, those that touch joined."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        names, low, high = _owners(group)
+        keep = np.isin(_joined(group, "state", np.uint8), states)
+        names, low, high = names[keep], low[keep], high[keep]
+        order = np.lexsort((low, names))
+        names, low, high = names[order], low[order], high[order]
+        if not len(names):
+            return pd.DataFrame(columns=["name", "low", "high", "windows"])
+        fresh = np.concatenate(([True], (names[1:] != names[:-1]) | (low[1:] > high[:-1] + 1)))
+        start = np.flatnonzero(fresh)
+        names, low, high = names[start], low[start], np.maximum.reduceat(high, start)
+        cuts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+        rows = [(names[a], low[a:b].tobytes(), high[a:b].tobytes(), int((high[a:b].astype(np.int64) - low[a:b] + 1).sum())) for a, b in zip(cuts, np.append(cuts[1:], len(names)), strict=True)]
+        return pd.DataFrame(rows, columns=["name", "low", "high", "windows"])
+
+    return ranges.groupBy("bucket").applyInPandas(run, "name long, low binary, high binary, windows long")
+
+
 def _anchor_table(docs: DataFrame, settings: DedupSettings) -> DataFrame:
     """A row of packed anchors for each text, and rows (bucket, n) that count them."""
     columns = ["name", "first", "second", "low", "high", "bucket", "n"]
@@ -213,9 +259,9 @@ def _deal_windows(docs: DataFrame, parts: int, settings: DedupSettings) -> DataF
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in row_batches(frames, 1_000_000):
             parts_out = []
-            for name, text, lows, highs in zip(frame["name"], frame["text"], frame["lows"], frame["highs"], strict=True):
+            for name, text, *packed in zip(frame["name"], frame["text"], frame["low"], frame["high"], strict=True):
                 data = _bytes_of(text)
-                low, high = (np.concatenate([np.frombuffer(x, np.int32) for x in c]).astype(np.int64) for c in (lows, highs))
+                low, high = (np.frombuffer(x, np.int32).astype(np.int64) for x in packed)
                 sizes = high - low + 1
                 at = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
                 first = Rolling(data).of(at, at + settings.length)
@@ -223,27 +269,11 @@ def _deal_windows(docs: DataFrame, parts: int, settings: DedupSettings) -> DataF
                 parts_out.append((first, second, np.full(len(at), name), at.astype(np.int32)))
             if parts_out:
                 first, second, names, at = (np.concatenate(x) for x in zip(*parts_out, strict=True))
-                yield _pack(first, second, names, at, at, parts, first)
+                yield _pack(first, second, names, at, None, parts, first)
 
     return docs.mapInPandas(run, _PACKED)
 
 
-def _chosen(column: str, states: tuple[int, ...]):
-    """Keep the entries of packed int32 ranges whose state is one of ``states``."""
-
-    @F.pandas_udf("binary")
-    def pick(values: pd.Series, state: pd.Series) -> pd.Series:
-        keep = [np.isin(np.frombuffer(s, np.uint8), states) for s in state]
-        return pd.Series([np.frombuffer(v, np.int32)[k].tobytes() for v, k in zip(values, keep, strict=True)], dtype=object)
-
-    return pick(column, "state")
-
-
-def _ranges(table: DataFrame, states: tuple[int, ...]) -> DataFrame:
-    picked = table.select("name", _chosen("low", states).alias("low"), _chosen("high", states).alias("high")).where("octet_length(low) > 0")
-    return picked.groupBy("name").agg(F.collect_list(F.struct("low", "high")).alias("_r")).select("name", F.col("_r.low").alias("lows"), F.col("_r.high").alias("highs"))
-
-
 def covered(low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal byte runs [start, end) under the windows of all ranges."""
     order = np.argsort(low, kind="stable")
@@ -256,11 +286,11 @@ def _cut_out(docs: DataFrame, settings: DedupSettings) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for text, lows, highs in zip(frame["text"], frame["lows"], frame["highs"], strict=True):
+            for text, *packed in zip(frame["text"], frame["low"], frame["high"], strict=True):
                 data = _bytes_of(text)
                 keep, spans = np.ones(len(data), dtype=bool), 0
-                if lows is not None and len(lows):
-                    low, high = (np.concatenate([np.frombuffer(x, np.int32) for x in c]) for c in (lows, highs))
+                if packed[0] is not None:
+                    low, high = (np.frombuffer(x, np.int32) for x in packed)
                     starts, ends = covered(low, high, settings.length)
                     spans = len(starts)
                     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
@@ -272,7 +302,7 @@ def _cut_out(docs: DataFrame, settings: DedupSettings) -> DataFrame:
             yield out
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text", "lows", "highs").mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.select("doc_id", "text", "low", "high").mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, settings: DedupSettings = DedupSettings()) -> DataFrame:
@@ -286,17 +316,18 @@ def deduplicate(docs: DataFrame, settings: DedupSettings = DedupSettings()) -> D
     table = spark.sparkContext.broadcast(counts)
     least = spark.sparkContext.defaultParallelism
     parts = max(least, math.ceil(int(counts.sum()) / settings.part_rows))
-    live = written(_settle(_deal_anchors(packed.where("bucket < 0"), parts, table, settings), np.uint64, table, settings), "live")
+    buckets = max(least, math.ceil(int(counts.sum()) * 4 / settings.part_rows))
+    live = written(_settle(_deal_anchors(packed.where("bucket < 0"), parts, table, settings), np.uint64, table, buckets, settings), "live")
+    forget(spark)
 
-    todo = _ranges(live, (OPEN, SPOKESMAN))
-    size = F.transform("lows", lambda x: F.octet_length(x) / 4)
-    windows = todo.agg(F.sum(F.aggregate(size, F.lit(0.0), lambda a, b: a + b))).first()[0] or 0
-    parts = max(least, math.ceil(windows * settings.length / settings.gram * 16 / settings.part_rows))
+    todo = written(_gathered(live, (OPEN, SPOKESMAN)), "open")
+    windows = todo.agg(F.sum("windows")).first()[0] or 0
+    parts = max(least, math.ceil(windows / settings.part_rows))
     texts = docs.where(in_bloom("name", bloom(todo.select("name"), "name")))
-    singles = written(_settle(_deal_windows(texts.join(todo, "name"), parts, settings), np.uint32, None, settings), "windows")
+    singles = written(_settle(_deal_windows(texts.join(todo, "name"), parts, settings), np.uint32, None, buckets, settings), "windows")
+    forget(spark)
 
-    hits = written(_ranges(live, (REPEATED, SPOKESMAN)).unionAll(_ranges(singles, (REPEATED,))), "hits")
-    hits = hits.groupBy("name").agg(F.flatten(F.collect_list("lows")).alias("lows"), F.flatten(F.collect_list("highs")).alias("highs"))
+    hits = written(_gathered(live.unionAll(singles), (REPEATED, SPOKESMAN)), "hits")
     marked = docs.withColumn("_hit", in_bloom("name", bloom(hits.select("name"), "name")))
     untouched = marked.where("not _hit").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
     return untouched.unionAll(_cut_out(marked.where("_hit").join(hits, "name", "left"), settings))
