@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, forget, in_bloom, row_batches, ship, written
+from .common import bloom, discard, forget, in_bloom, row_batches, ship, written
 from .vectext import mix, powers
 
 _VALUES = mix(np.arange(501, 757, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -319,6 +319,7 @@ def deduplicate(docs: DataFrame, settings: DedupSettings = DedupSettings()) -> D
     buckets = max(least, math.ceil(int(counts.sum()) * 4 / settings.part_rows))
     live = written(_settle(_deal_anchors(packed.where("bucket < 0"), parts, table, settings), np.uint64, table, buckets, settings), "live")
     forget(spark)
+    discard(packed)
 
     todo = written(_gathered(live, (OPEN, SPOKESMAN)), "open")
     windows = todo.agg(F.sum("windows")).first()[0] or 0
