@@ -91,7 +91,7 @@ def crc_fold(column: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
-def row_batches(frames, budget: int = 2_000_000, column: str = "text"):
+def row_batches(frames, budget: int = 1_000_000, column: str = "text"):
     """Split pandas frames into pieces of about ``budget`` characters of text."""
     for frame in frames:
         texts = frame[column]
