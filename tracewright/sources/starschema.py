@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from ..model import EventLog
 
-_SEQ = F.lit(0).cast("long").alias("seq")
-_QUALIFIER = F.lit("a").alias("qualifier")
+
+
+def _seq():
+    return F.lit(0).cast("long").alias("seq")
+
+
+def _qualifier():
+    return F.lit("a").alias("qualifier")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +23,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def user_log(spark: SparkSession, sf_dir: str) -> EventLog:
     """One event a row of ``events``, with the user as its only object; values are changes of the user."""
-    rows = _read(spark, sf_dir, "events")
+    rows = _read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     eid, user = F.col("event_id").cast("string"), F.concat(F.lit("u"), F.col("user_id"))
-    relations = rows.select(eid.alias("eid"), F.col("event_type").alias("activity"), "ts", user.alias("oid"), F.lit("user").alias("otype"), _QUALIFIER, F.col("event_id").alias("seq"))
+    relations = rows.select(eid.alias("eid"), F.col("event_type").alias("activity"), "ts", user.alias("oid"), F.lit("user").alias("otype"), _qualifier(), F.col("event_id").alias("seq"))
     events = rows.select(eid.alias("eid"), F.col("event_type").alias("activity"), "ts", F.create_map(F.lit("value"), F.col("value").cast("string")).alias("attrs"), F.col("event_id").alias("seq"))
     objects = rows.select(user.alias("oid")).distinct().select("oid", F.lit("user").alias("otype"), F.create_map(F.lit("value"), F.lit("0")).alias("attrs"))
     changes = rows.where("event_type = 'purchase'").select(user.alias("oid"), F.lit("user").alias("otype"), "ts", F.lit("value").alias("field"), F.col("value").cast("string").alias("value"), F.col("event_id").alias("seq"))
@@ -40,12 +46,12 @@ def order_log(spark: SparkSession, sf_dir: str) -> EventLog:
     ship = lines.groupBy("l_orderkey", "l_returnflag").agg(F.min("l_shipdate").cast("timestamp").alias("ts"), F.collect_set(item).alias("items"))
     objects_of = F.concat(F.array(F.struct(order_of("l_orderkey").alias("oid"), F.lit("order").alias("otype"))), F.transform("items", lambda x: F.struct(x.alias("oid"), F.lit("item").alias("otype"))))
     shipped = ship.select(F.concat(F.lit("S"), F.col("l_orderkey"), F.col("l_returnflag")).alias("eid"), F.lit("Ship").alias("activity"), "ts", F.explode(objects_of).alias("_o"))
-    relations = placed.unionAll(shipped).select("eid", "activity", "ts", "_o.oid", "_o.otype", _QUALIFIER, _SEQ)
+    relations = placed.unionAll(shipped).select("eid", "activity", "ts", "_o.oid", "_o.otype", _qualifier(), _seq())
 
     mass = lambda c: F.create_map(F.lit("mass"), c.cast("decimal(18,2)").cast("string")).alias("attrs")
     o = orders.groupBy(order_of("o_orderkey").alias("oid")).agg(F.max("o_totalprice").alias("m")).select("oid", F.lit("order").alias("otype"), mass(F.col("m")))
     c = orders.select(F.concat(F.lit("c"), F.col("o_custkey")).alias("oid")).distinct().select("oid", F.lit("customer").alias("otype"), mass(F.lit(1)))
     i = lines.groupBy(item.alias("oid")).agg(F.max("l_quantity").alias("m")).select("oid", F.lit("item").alias("otype"), mass(F.col("m")))
     weight = F.create_map(F.lit("mass"), F.when(F.col("activity") == "Place", "2").otherwise("3")).alias("attrs")
-    events = orders.select(*place).unionAll(ship.select(F.concat(F.lit("S"), F.col("l_orderkey"), F.col("l_returnflag")), F.lit("Ship"), "ts")).select("eid", "activity", "ts", weight, _SEQ)
+    events = orders.select(*place).unionAll(ship.select(F.concat(F.lit("S"), F.col("l_orderkey"), F.col("l_returnflag")), F.lit("Ship"), "ts")).select("eid", "activity", "ts", weight, _seq())
     return EventLog.of(spark, relations, events, o.unionAll(c).unionAll(i))
