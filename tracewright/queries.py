@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .model import FINAL, INITIAL, INNER
 from .operators import asof, conformance, filters, massbalance, variants, waste
 from .operators import roles as role_ops
+from .operators.components import cut
 from .plans import net as nets
 from .sources.starschema import order_log, user_log
 
@@ -168,8 +169,8 @@ def labels_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _variant_parts(spark: SparkSession, sf_dir: str, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
-    found = _order_roles(spark, sf_dir)
-    return found, variants.variant_events(found, weighted)
+    found = cut(_order_roles(spark, sf_dir), "roles")
+    return found, cut(variants.variant_events(found, weighted), "variant-events")
 
 
 @_register("variants_capped", f"WITH {_V} SELECT variant_id, activity, n_events, first_eid FROM vs")
