@@ -5,8 +5,9 @@ training document is a query. An item's term weights are its BM25 weights divide
 their sum, so a passage that holds all of an item's words scores 1. All items that
 score ``least_score`` or more are retrieved:
 
-* a passage whose terms' largest weights do not add up to the threshold is left at once
-  (the WAND pivot test with no pivot, done for whole batches in numpy);
+* items stand in order of length and form ``groups`` of neighbours; a passage whose terms'
+  largest weights within a group do not add up to the threshold for any group is left at
+  once (the block-max test over whole lists, done for whole batches in numpy);
 * the others are searched document-at-a-time: the pivot is the first item at which the
   lists' largest weights could reach the threshold, and the weights of the pivot's
   blocks decide whether it is scored or whole blocks are skipped.
@@ -26,6 +27,7 @@ fewer than five words count as one shingle; other columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,6 +48,7 @@ class DecontamSettings:
     least_overlap: float = 0.75
     width: int = 5
     block: int = 16  # postings a block
+    groups: int = 64
     block_terms: int = 2_000_000
     stride: int = 64
 
@@ -65,14 +68,29 @@ class BlockMaxIndex:
         self.terms = np.array(sorted(rows), dtype=np.uint64)
         self.lists = [([i for i, _ in rows[t]], [w for _, w in rows[t]]) for t in self.terms.tolist()]
         self.most = np.array([max(w) for _, w in self.lists])
+        self.items = len(items)
+        count = max(1, min(settings.groups, len(items) // 3))
+        self.group_most = np.zeros((len(self.lists), count), dtype=np.float32)
+        for t, (i, w) in enumerate(self.lists):
+            np.maximum.at(self.group_most[t], np.array(i) * count // len(items), w)
         size = settings.block
         self.blocks = [([i[min(k + size, len(i)) - 1] for k in range(0, len(i), size)], [max(w[k : k + size]) for k in range(0, len(i), size)]) for i, w in self.lists]
 
-    def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
-        """All (item, score) with a score of at least ``least``; terms are term numbers."""
+    def span(self, group: int) -> tuple[int, int]:
+        """First item of a group, and of the next one."""
+        count = self.group_most.shape[1]
+        return -(-group * self.items // count), -(-(group + 1) * self.items // count)
+
+    def search(self, terms: list[int], least: float, low: int = 0, high: float = math.inf) -> list[tuple[int, float]]:
+        """All (item, score) from ``low`` to below ``high`` that score ``least`` or more; terms are term numbers."""
         least -= 1e-9
         size, found = self.settings.block, []
-        cursors = [[self.lists[t][0][0], 0, t] for t in terms]  # item, position, term
+        cursors = []  # item, position, term
+        for t in terms:
+            items = self.lists[t][0]
+            at = bisect_left(items, low) if low else 0
+            if at < len(items) and items[at] < high:
+                cursors.append([items[at], at, t])
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
@@ -108,7 +126,7 @@ class BlockMaxIndex:
                 target = max(item + 1, until)
             for c in cursors[: pivot + 1]:
                 self._advance(c, target)
-            cursors = [c for c in cursors if c[0] < math.inf]
+            cursors = [c for c in cursors if c[0] < high]
         return found
 
     def _advance(self, cursor: list, target) -> None:
@@ -160,7 +178,7 @@ def _blocks(benchmark: DataFrame, settings: DecontamSettings) -> Iterator[_Block
         rows = sorted(part.collect(), key=lambda r: (str(r["item_id"]), r["text"]))  # about block_terms words
         texts = [r["text"] for r in rows]
         hashes, bounds = word_hashes(texts, letters=True)
-        some = [i for i in range(len(rows)) if bounds[i + 1] > bounds[i]]
+        some = sorted((i for i in range(len(rows)) if bounds[i + 1] > bounds[i]), key=lambda i: bounds[i + 1] - bounds[i])
         if not some:
             continue
         own = part.sparkSession.createDataFrame([(x,) for x in np.unique(hashes).view(np.int64).tolist()], "term long")
@@ -176,6 +194,21 @@ def _overlap(part: np.ndarray, passage: np.ndarray) -> float | None:
     return float(np.isin(part, passage).mean()) if len(part) else None
 
 
+def _promising(index: BlockMaxIndex, term: np.ndarray, starts: np.ndarray, least: float, step: int = 4096) -> np.ndarray:
+    """(passage, group) for which the group's largest weights add up to ``least``; a passage's terms are starts[p]:starts[p + 1]."""
+    total = np.concatenate(([0.0], np.cumsum(index.most[term])))
+    some = np.flatnonzero(total[starts[1:]] - total[starts[:-1]] >= least)
+    found = []
+    for k in range(0, len(some), step):
+        part = some[k : k + step]
+        sizes = starts[part + 1] - starts[part]
+        rows = np.repeat(starts[part] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        sums = np.add.reduceat(index.group_most[term[rows]], np.cumsum(sizes) - sizes, axis=0)
+        at, group = np.nonzero(sums >= least)
+        found.append(np.column_stack([part[at], group]))
+    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+
+
 def _matches(block: _Block, texts: list, settings: DecontamSettings) -> Iterator[tuple]:
     """(row, item, score, question overlap, answer overlap), the best passage of each."""
     words, bounds = word_hashes(texts, letters=True)
@@ -190,11 +223,10 @@ def _matches(block: _Block, texts: list, settings: DecontamSettings) -> Iterator
     before = own > first[row]
     keys = np.unique(np.concatenate([own, own[before] - 1]) * len(index.terms) + np.concatenate([term, term[before]]))
     passage, term = keys // len(index.terms), keys % len(index.terms)
-    bound = np.bincount(passage, index.most[term], minlength=first[-1])
     best: dict[tuple[int, int], tuple] = {}
     starts = np.searchsorted(passage, np.arange(first[-1] + 1))
-    for p in np.flatnonzero(bound >= settings.least_score).tolist():
-        found = index.search(term[starts[p] : starts[p + 1]].tolist(), settings.least_score)
+    for p, group in _promising(index, term, starts, settings.least_score - 1e-5).tolist():
+        found = index.search(term[starts[p] : starts[p + 1]].tolist(), settings.least_score, *index.span(group))
         if not found:
             continue
         r = int(np.searchsorted(first, p, side="right")) - 1
