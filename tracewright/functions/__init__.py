@@ -1,0 +1 @@
+"""Scalar functions."""

@@ -1,0 +1 @@
+"""Operators on event logs, as DataFrame plans."""

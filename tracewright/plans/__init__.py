@@ -1,0 +1 @@
+"""Net construction and rendering."""

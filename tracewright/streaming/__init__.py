@@ -1,0 +1 @@
+"""No streaming operators: inputs are whole files, and an object's role can change with any later event."""
