@@ -407,27 +407,66 @@ def net_self_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nets.self_loops(nets.raw_places(*_pieces(spark, sf_dir)))
 
 
+_NET = _ALIVE + """, loops AS (
+  SELECT p.variant_id, p.idx AS p, q.idx AS q, row_number() OVER (ORDER BY p.idx) + (SELECT max(idx) FROM places) AS idx, p.otype, p.ins, q.outs, p.n, p.m AS m_in, q.m AS m_out, p.activity
+  FROM places p JOIN places q USING (variant_id, otype) WHERE p.role = 'input' AND q.role = 'output'
+    AND list_contains(string_split(p.ins, ','), p.activity) AND list_contains(string_split(q.outs, ','), q.activity)
+), gone AS (SELECT p AS idx FROM loops UNION ALL SELECT q FROM loops
+), listed AS (
+  SELECT idx, otype, ins, outs, role = 'initial' AS is_initial, role = 'final' AS is_final, role = 'unknown' AS is_unknown, n FROM places WHERE idx NOT IN (SELECT idx FROM gone)
+  UNION ALL SELECT idx, otype, ins, outs, false, false, false, n FROM loops
+), sides AS (
+  SELECT *, otype || is_initial || is_final || is_unknown AS kind, CASE WHEN ins = '' THEN [] ELSE string_split(ins, ',') END AS li, CASE WHEN outs = '' THEN [] ELSE string_split(outs, ',') END AS lo FROM listed
+), below AS (
+  SELECT p.idx AS p, q.idx AS q, list_has_all(p.li, q.li) AND list_has_all(p.lo, q.lo) AS equal
+  FROM sides p JOIN sides q ON p.kind = q.kind AND p.idx <> q.idx WHERE list_has_all(q.li, p.li) AND list_has_all(q.lo, p.lo)
+), over AS (SELECT p, q FROM below WHERE NOT equal OR q > p
+), parent AS (SELECT p, min(q) AS q FROM over WHERE q > p OR q NOT IN (SELECT p FROM over) GROUP BY p
+), chase AS (
+  SELECT idx, idx AS rep FROM sides UNION SELECT idx, parent.q FROM chase JOIN parent ON parent.p = rep
+), reps AS (SELECT idx, rep FROM chase WHERE rep NOT IN (SELECT p FROM parent)
+), arcs0 AS (
+  SELECT idx, variant_id AS transition, activity, CASE WHEN role IN ('output', 'final') THEN 'out' ELSE 'in' END AS direction, m FROM places WHERE idx NOT IN (SELECT idx FROM gone)
+  UNION ALL SELECT idx, variant_id, activity, 'in', m_in FROM loops UNION ALL SELECT idx, variant_id, activity, 'out', m_out FROM loops
+), arcs1 AS (SELECT DISTINCT rep AS idx, transition, activity, direction, m FROM arcs0 JOIN reps USING (idx)
+), kept AS (SELECT s.* FROM sides s JOIN reps r ON s.idx = r.idx AND r.rep = s.idx
+), takes AS (SELECT DISTINCT idx, activity FROM arcs1 WHERE direction = 'in'
+), missing AS (
+  SELECT * FROM (SELECT idx AS p, otype, unnest(lo) AS activity FROM kept) x WHERE NOT EXISTS (SELECT 1 FROM takes t WHERE t.idx = x.p AND t.activity = x.activity)
+), silent AS (
+  SELECT DISTINCT p, t.idx AS q FROM missing m JOIN takes t USING (activity) JOIN kept k ON k.idx = t.idx AND k.otype = m.otype AND NOT k.is_initial AND k.idx <> m.p
+), arcs AS (
+  SELECT transition, CAST(idx AS INTEGER) AS place, direction, CAST(m AS INTEGER) AS multiplicity FROM arcs1
+  UNION ALL SELECT 'silent#' || p || '#' || q, CAST(p AS INTEGER), 'in', 1 FROM silent UNION ALL SELECT 'silent#' || p || '#' || q, CAST(q AS INTEGER), 'out', 1 FROM silent
+)"""
+
+
 def _net(spark: SparkSession, sf_dir: str) -> nets.FlowNet:
     return nets.build(*_pieces(spark, sf_dir))
 
 
-@_register("net_places")
+@_register("net_places", f"WITH RECURSIVE {_NET} SELECT CAST(idx AS INTEGER) AS place, otype, ins, outs, is_initial, is_final, is_unknown, CAST(n AS BIGINT) AS n FROM kept")
 def net_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _net(spark, sf_dir).places.select("place", "otype", *_joined_names("ins", "outs"), "is_initial", "is_final", "is_unknown", "n")
 
 
-@_register("net_arcs")
+@_register("net_arcs", f"WITH RECURSIVE {_NET} SELECT * FROM arcs")
 def net_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _net(spark, sf_dir).arcs
 
 
-@_register("net_silent")
+@_register("net_silent", f"WITH RECURSIVE {_NET} SELECT * FROM arcs WHERE transition LIKE 'silent#%'")
 def net_silent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arcs of the silent transitions."""
     net = _net(spark, sf_dir)
     return net.arcs.join(net.transitions.where("activity is null").select("transition"), "transition")
 
 
-@_register("net_stats")
+@_register("net_stats", f"""WITH RECURSIVE {_NET}, c AS (SELECT (SELECT count(*) FROM kept) AS np, (SELECT count(*) FROM vs) AS nv, (SELECT count(*) FROM silent) AS ns, (SELECT count(*) FROM arcs) AS na
+), d AS (SELECT max(k) AS maximum_degree FROM (SELECT count(*) AS k FROM arcs GROUP BY transition, direction)
+), a AS (SELECT activity AS most_duplicated, count(*) AS duplicates FROM vs GROUP BY activity ORDER BY 2 DESC, 1 LIMIT 1)
+SELECT np + nv + ns AS total_nodes, np + nv + ns + na AS total_size, maximum_degree, ns / (nv + ns) AS silent_ratio, most_duplicated, duplicates,
+  1 / (1 + greatest(2 * na / (np + nv + ns) - 2, 0)) AS simplicity FROM c, d, a""")
 def net_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = _net(spark, sf_dir)
     return nets.statistics(net).join(nets.simplicity(net))  # rows of one each
@@ -446,7 +485,12 @@ def related_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformance.related_objects(log)
 
 
-@_register("case_ids")
+@_register("case_ids", """WITH RECURSIVE it AS (SELECT DISTINCT l_orderkey || l_returnflag AS eid, 'i' || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS oid FROM lineitem
+), e AS (SELECT DISTINCT a.oid AS x, b.oid AS y FROM it a JOIN it b USING (eid)
+), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+), c AS (SELECT x AS oid, min(y) AS component FROM r GROUP BY x
+), s AS (SELECT *, (row_number() OVER (PARTITION BY component ORDER BY oid) - 1) // 50 AS chunk FROM c)
+SELECT oid, string_agg(oid, '-') OVER (PARTITION BY component, chunk ORDER BY oid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS case_id FROM s""")
 def case_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformance.cases(conformance.related_objects(order_log(spark, sf_dir), "item"))
 
