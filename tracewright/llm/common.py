@@ -62,11 +62,21 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` once to the shared folder and read it back."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, label: str, batch_rows: int = 1000) -> DataFrame:
+    """Cut lineage: write ``df`` once to the shared folder and read it back.
+
+    While it runs, Python workers get ``batch_rows`` rows at a time, as rows hold whole texts or sets.
+    """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
+    path, before = new_path(spark, label), spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
