@@ -27,7 +27,7 @@ WITH split AS (
 ), worded AS (
   SELECT DISTINCT doc_id, line_no,
     list_sort(list_distinct(list_filter(regexp_split_to_array(
-      translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS words
+      lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS words
   FROM lines
 ), named AS (
   SELECT doc_id, line_no, words, len(words) AS n FROM worded WHERE len(words) > 0
