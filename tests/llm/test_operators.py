@@ -17,7 +17,8 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 WEIRD = [(1, "plain words, here."), (2, None), (3, ""), (3, ""), (None, "no id"), (5, "é中ñ ½ <|endoftext|> don't İ.́x\t\x1c"), (6, "a" * 70_000), (7, "the the the " * 9000)]
 
 
-def frame(spark, rows, extra="lang string, source string"):
+def frame(spark, rows, extra="lang string, source string, score string, held_out string, predicted string, spans string, n_tokens string, start string, words string, n string, domain string, given string, _key string"):
+    """Documents with columns that clash with those the operators make."""
     names = [c.split()[0] for c in extra.split(", ")]
     return spark.createDataFrame([(*r, *[None] * (2 + len(names) - len(r))) for r in rows], f"doc_id long, text string, {extra}").repartition(3)
 
