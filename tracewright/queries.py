@@ -510,7 +510,7 @@ def fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = massbalance.resolve(role_ops.roles(log.relations), log.masses()).roles
     events = variants.variant_events(found)
     net = nets.build(variants.variants(events), variants.associations(found, events))
-    each = conformance.fitness(log, net, variants.object_instances(found, events), "item", budget=3000)
+    each = conformance.fitness(log, net, variants.object_instances(found, events), "item")
     return each.groupBy("otype", F.round("fitness", 6).alias("fitness")).agg(F.count("*").alias("cases"))
 
 
