@@ -506,11 +506,18 @@ def group_markings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("fitness")
 def fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = filters.drop_object_types(order_log(spark, sf_dir), ["customer"])
-    found = massbalance.resolve(role_ops.roles(log.relations), log.masses()).roles
-    events = variants.variant_events(found)
-    net = nets.build(variants.variants(events), variants.associations(found, events))
-    each = conformance.fitness(log, net, variants.object_instances(found, events), "item")
+    """Cases of each fitness, for every object type of the order log.
+
+    Orders' dates are days, so a customer may have several last placements, each a final
+    output; the last of them by event id is the one that marks the case.
+    """
+    log = order_log(spark, sf_dir)
+    log = log.replaced(relations=cut(log.relations, "relations"), objects=cut(log.objects, "objects"))
+    roles = massbalance.resolve(cut(role_ops.roles(log.relations), "roles"), log.masses()).roles
+    events = cut(variants.variant_events(roles), "variant-events")
+    found, near = cut(variants.variants(events), "variants"), cut(variants.associations(roles, events), "associations")
+    instances = cut(variants.object_instances(roles, events, check=False), "instances")
+    each = conformance.fitness_of_types(log, nets.build(found, near), instances)
     return each.groupBy("otype", F.round("fitness", 6).alias("fitness")).agg(F.count("*").alias("cases"))
 
 
