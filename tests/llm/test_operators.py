@@ -200,6 +200,19 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert decontam.leaks(docs, bench.limit(0)).count() == 0 and decontam.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_every_passage_is_tested_for_question_and_answer(spark):
+    question = "which river runs past the old mill and under the narrow bridge"
+    answer = "the silver brook from upper dale"
+    edited = question.replace("bridge", "arch")
+    filler = " ".join(f"filler{i}" for i in range(400))
+    rows = [(1, f"{question} {filler} {edited}? {answer}"), (2, f"{question} {filler}"), (3, f"{question} {filler} {answer}")]
+    bench = spark.createDataFrame([(7, f"{question}? {answer}")], "item_id long, text string")
+    docs = frame(spark, rows)
+    got = decontam.leaks(docs, bench).collect()
+    assert [(r["doc_id"], r["item_id"], r["answer_overlap"]) for r in got] == [(1, 7, 1.0)] and 0.75 <= got[0]["question_overlap"] < 1
+    assert {r["doc_id"] for r in decontam.clean(docs, bench).collect()} == {2, 3}
+
+
 # --- mixing
 
 

@@ -210,7 +210,7 @@ def _promising(index: BlockMaxIndex, term: np.ndarray, starts: np.ndarray, least
 
 
 def _matches(block: _Block, texts: list, settings: DecontamSettings) -> Iterator[tuple]:
-    """(row, item, score, question overlap, answer overlap), the best passage of each."""
+    """(row, item, score, question overlap, answer overlap): of the passages that hold enough of both, the best of each."""
     words, bounds = word_hashes(texts, letters=True)
     index, stride = block.index, max(settings.stride, block.longest)
     place = np.minimum(np.searchsorted(index.terms, words), len(index.terms) - 1)
@@ -236,6 +236,8 @@ def _matches(block: _Block, texts: list, settings: DecontamSettings) -> Iterator
             short = [x for x in (block.questions[item], block.answers[item]) if len(x) == 1]
             within = shingles if not short else np.concatenate([shingles, *(rolled_shingles(words[a : min(a + 2 * stride, bounds[r + 1])], w, fixed=True) for w in range(1, settings.width))])
             question, answer = _overlap(block.questions[item], within), _overlap(block.answers[item], within)
+            if min(x for x in (question, answer, 1.0) if x is not None) < settings.least_overlap:
+                continue
             seen = best.get((r, item))
             if seen is None or (question, answer or 0.0, score) > (seen[1], seen[2] or 0.0, seen[0]):
                 best[r, item] = (score, question, answer)
@@ -243,13 +245,6 @@ def _matches(block: _Block, texts: list, settings: DecontamSettings) -> Iterator
         yield r, item, *found
 
 
-def _kept(matches, settings: DecontamSettings) -> Iterator[tuple]:
-    """Matches whose question, and answer where there is one, overlap enough."""
-    for match in matches:
-        if min(x for x in (*match[3:], 1.0) if x is not None) >= settings.least_overlap:
-            yield match
-
-
 def _holds(shared, settings: DecontamSettings):
     @F.pandas_udf("boolean")
     def holds(series_in: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -257,7 +252,7 @@ def _holds(shared, settings: DecontamSettings):
             flags = [np.zeros(0, dtype=bool)]
             for frame in row_batches([series.to_frame("text")], 4_000_000):
                 flags.append(np.zeros(len(frame), dtype=bool))
-                for r, *_ in _kept(_matches(shared.value, frame["text"].tolist(), settings), settings):
+                for r, *_ in _matches(shared.value, frame["text"].tolist(), settings):
                     flags[-1][r] = True
             yield pd.Series(np.concatenate(flags))
 
@@ -275,8 +270,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, settings: DecontamSettings = De
 def leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontamSettings = DecontamSettings()) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of verified matches.
 
-    A match is kept if the question's overlap, and the answer's where there is one,
-    reach ``least_overlap``.
+    A match is kept if in one passage the question's overlap, and the answer's where there
+    is one, reach ``least_overlap``.
     """
     spark = ship(docs.sparkSession)
     kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
@@ -288,7 +283,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontamSettings = De
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for frame in row_batches(frames, 4_000_000):
                 rows = []
-                for r, item, score, question, answer in _kept(_matches(shared.value, frame["text"].tolist(), settings), settings):
+                for r, item, score, question, answer in _matches(shared.value, frame["text"].tolist(), settings):
                     rows.append((frame["doc_id"].iloc[r], shared.value.item_ids[item], score, question, answer))
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
