@@ -1,6 +1,7 @@
 import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
 
 from brute import jaccard_components, repeated_bytes
@@ -37,9 +38,12 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
 
 
-@pytest.mark.parametrize("hot", [200_000, 20])
-def test_components_match_brute_force(spark, rows, hot):
-    got = ngram_join.join(frame(spark, rows), replace(JoinSettings(), hot=hot, part_rows=500)).collect()
+TIGHT = {"count_least": 1, "small": 2, "block_shingles": 300}
+
+
+@pytest.mark.parametrize("tight", [{}, {"hot": 20, **TIGHT, "star_rounds": 0}, {**TIGHT, "star_rounds": 2}])
+def test_components_match_brute_force(spark, rows, tight):
+    got = ngram_join.join(frame(spark, rows), replace(JoinSettings(), part_rows=500, **tight)).collect()
     assert sorted(map(tuple, got)) == jaccard_components(rows)
 
 
@@ -50,6 +54,26 @@ def test_join_of_nulls_repeats_and_clashing_columns(spark):
     assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, None), (3, 2, 1), (5, 2, 1), (5, 2, 1)], key=repr)
 
 
+def test_blocks_unite_what_links_and_nothing_else():
+    rng = random.Random(8)
+    base = rng.sample(range(10**6), 60)
+    sets = [sorted(set(base[k % 3 :]) - set(rng.sample(base, rng.randrange(12))) | {10**7 + 100 * k + j for j in range(rng.randrange(14))}) for k in range(90)]
+    arrays = [np.array(x, dtype=np.uint64) for x in sets]
+    everyone = np.ones(len(sets), dtype=bool)
+    links = ngram_join.settle_block(np.arange(len(sets)), arrays, np.arange(len(sets)), everyone, everyone, 75)
+    similar = lambda a, b: 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))
+    assert all(similar(a, b) for a, b in links)
+
+    def groups(pairs):
+        root = list(range(len(sets)))
+        for a, b in pairs:
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        return root
+
+    assert groups(links) == groups((a, b) for a in range(90) for b in range(a) if similar(a, b))
+    assert len(links) == 90 - len(set(groups(links)))
+
+
 def test_join_of_an_empty_table(spark):
     assert ngram_join.join(frame(spark, [])).collect() == []
 
@@ -67,8 +91,6 @@ def test_removal_from_an_empty_table(spark):
 
 
 def test_anchors_do_not_depend_on_segments():
-    import numpy as np
-
     data = np.frombuffer(random.Random(5).randbytes(5000), np.uint8)
     whole = suffix_dedup.anchors(data, DedupSettings())
     parts = suffix_dedup.anchors(data, DedupSettings(), segment=777)
