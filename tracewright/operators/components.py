@@ -10,6 +10,7 @@ folder named by ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -19,11 +20,13 @@ from pyspark.sql import functions as F
 
 
 def scratch_folder(spark) -> str:
-    """``spark.checkpoint.dir``, or a local folder where that setting is absent."""
+    """``spark.checkpoint.dir``; in local mode, where that setting may be absent, a local folder."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = getattr(sc, "_tracewright_scratch", None)
     if made is None:
         made = sc._tracewright_scratch = tempfile.mkdtemp(prefix="tracewright-scratch-")
@@ -38,6 +41,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a table that :func:`cut` made, once nothing reads it."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {os.path.dirname(name) for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node on an edge; component is the least node reachable.
 
@@ -51,24 +63,34 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if links.isEmpty():
             break
+        before = links
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "hooks")
         for _ in range(max_rounds):  # pointer jumping halves the depth each time
             step = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
             jumped = up.join(step, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved"))
             jumped = cut(jumped, "jumps")
+            discard(up)
             moved = not jumped.where("moved").isEmpty()
             up = jumped.select("node", "root")
             if not moved:
                 break
+        else:
+            raise RuntimeError(f"pointers still move after {max_rounds} rounds")
         left, right = up.toDF("a", "ra"), up.toDF("b", "rb")
         onto = links.join(left, "a").join(right, "b").where("ra <> rb")
         links = cut(onto.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        discard(before)
         if mapping is None:
             mapping = up
         else:
-            over = up.toDF("root", "above")
+            over, old = up.toDF("root", "above"), mapping
             mapping = cut(mapping.join(over, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
+            discard(old)
+            discard(up)
+    else:
+        if not links.isEmpty():
+            raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     alone = loops.select("node", F.col("node").alias("component"))
     if mapping is None:
         return alone
