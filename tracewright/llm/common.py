@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
-import os
 import shutil
 import tempfile
 import uuid
@@ -13,16 +14,25 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark import SparkContext
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import discard, scratch_folder  # noqa: F401
+
 _SHIPPED = "_tracewright_llm_shipped"
+_BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable by the Python workers, once per Spark context."""
+    """Make this package importable by the Python workers, once per Spark context.
+
+    Rows hold whole texts and sets, so batches to and from Python workers are bounded by
+    bytes, unless the session has a bound of its own.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == _SPARKS_OWN:
+        spark.conf.set(_BATCH, "4m")
     if getattr(sc, _SHIPPED, False):
         return spark
     package = Path(__file__).resolve().parent.parent
@@ -41,43 +51,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests, a laptop) is a local folder made.
-    """
-    sc: SparkContext = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    made = getattr(sc, "_tracewright_shared", None)
-    if made is None:
-        made = tempfile.mkdtemp(prefix="tracewright-shared-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        sc._tracewright_shared = made
-    return "file://" + made
-
-
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
+    return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-
-def written(df: DataFrame, label: str, batch_rows: int = 1000) -> DataFrame:
-    """Cut lineage: write ``df`` once to the shared folder and read it back.
-
-    While it runs, Python workers get ``batch_rows`` rows at a time, as rows hold whole texts or sets.
-    """
-    spark = df.sparkSession
-    path, before = new_path(spark, label), spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(batch_rows))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut lineage: write ``df`` once to the shared folder and read it back."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession) -> None:
@@ -86,21 +68,19 @@ def forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table that :func:`written` made, once nothing reads it."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {os.path.dirname(name) for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def crc_fold(column: str, folds: int) -> Column:
     """crc32 of a value's decimal text, modulo ``folds`` (null ids fall in fold of '')."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
+def give_back() -> None:
+    """Return memory that this Python worker no longer uses, before it waits for its next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def row_batches(frames, budget: int = 1_000_000, column: str = "text"):
     """Split pandas frames into pieces of about ``budget`` characters of text."""
     for frame in frames:
@@ -114,6 +94,7 @@ def row_batches(frames, budget: int = 1_000_000, column: str = "text"):
             used += size
         if start < len(frame):
             yield frame.iloc[start:]
+    give_back()
 
 
 BLOOM_BITS = 1 << 26

@@ -16,6 +16,10 @@ A retrieved item is verified by the share of the 5-word shingles of its question
 of its answer, that occur in the passage: the text up to the first question mark is the
 question and the rest the answer; without a question mark all of it is the question.
 
+Items are indexed by length class (up to ``stride`` words, up to twice that, and so on), and
+a class's passages are two of its strides long, one apart; so whether a document holds an
+item does not depend on the lengths of other items.
+
 The index is broadcast in blocks of at most ``block_terms`` postings, one pass over the
 documents for each block, so its size is bounded whatever the number of items.
 
@@ -142,11 +146,13 @@ class BlockMaxIndex:
 
 @dataclass(frozen=True)
 class _Block:
+    """The items of one length class."""
+
     index: BlockMaxIndex
     item_ids: list
     questions: list[np.ndarray]
     answers: list[np.ndarray]
-    longest: int
+    stride: int
 
 
 def _shingled(texts: list[str], width: int) -> list[np.ndarray]:
@@ -154,8 +160,8 @@ def _shingled(texts: list[str], width: int) -> list[np.ndarray]:
     return [np.unique(rolled_shingles(words[a:b], width)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _blocks(benchmark: DataFrame, settings: DecontamSettings) -> Iterator[_Block]:
-    """Index blocks of bounded size; term statistics are those of all items."""
+def _blocks(benchmark: DataFrame, settings: DecontamSettings) -> Iterator[list[_Block]]:
+    """Index blocks of bounded size, each by length class; term statistics are those of all items."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in row_batches(frames):
@@ -183,11 +189,18 @@ def _blocks(benchmark: DataFrame, settings: DecontamSettings) -> Iterator[_Block
             continue
         own = part.sparkSession.createDataFrame([(x,) for x in np.unique(hashes).view(np.int64).tolist()], "term long")
         idf = {r["term"] & (2**64 - 1): math.log(1 + (count - r["n"] + 0.5) / (r["n"] + 0.5)) for r in counted.join(own, "term").select("term", "n").collect()}
-        lists = [hashes[bounds[i] : bounds[i + 1]] for i in some]
-        cut = [texts[i].find("?") + 1 or len(texts[i]) for i in some]
-        questions = _shingled([texts[i][:c] for i, c in zip(some, cut, strict=True)], settings.width)
-        answers = _shingled([texts[i][c:] for i, c in zip(some, cut, strict=True)], settings.width)
-        yield _Block(BlockMaxIndex(lists, idf, words / count, settings), [rows[i]["item_id"] for i in some], questions, answers, max(map(len, lists)))
+        classes: dict[int, list[int]] = {}
+        for i in some:
+            length = int(bounds[i + 1] - bounds[i])
+            classes.setdefault(settings.stride << (-(-length // settings.stride) - 1).bit_length(), []).append(i)
+        made = []
+        for stride, own_items in sorted(classes.items()):
+            lists = [hashes[bounds[i] : bounds[i + 1]] for i in own_items]
+            cut = [texts[i].find("?") + 1 or len(texts[i]) for i in own_items]
+            questions = _shingled([texts[i][:c] for i, c in zip(own_items, cut, strict=True)], settings.width)
+            answers = _shingled([texts[i][c:] for i, c in zip(own_items, cut, strict=True)], settings.width)
+            made.append(_Block(BlockMaxIndex(lists, idf, words / count, settings), [rows[i]["item_id"] for i in own_items], questions, answers, stride))
+        yield made
 
 
 def _overlap(part: np.ndarray, passage: np.ndarray) -> float | None:
@@ -209,10 +222,15 @@ def _promising(index: BlockMaxIndex, term: np.ndarray, starts: np.ndarray, least
     return np.concatenate(found) if found else np.empty((0, 2), np.int64)
 
 
-def _matches(block: _Block, texts: list, settings: DecontamSettings) -> Iterator[tuple]:
-    """(row, item, score, question overlap, answer overlap): of the passages that hold enough of both, the best of each."""
+def _matches(blocks: list[_Block], texts: list, settings: DecontamSettings) -> Iterator[tuple]:
+    """(row, item id, score, question overlap, answer overlap): of the passages that hold enough of both, the best of each."""
     words, bounds = word_hashes(texts, letters=True)
-    index, stride = block.index, max(settings.stride, block.longest)
+    for block in blocks:
+        yield from _block_matches(block, words, bounds, settings)
+
+
+def _block_matches(block: _Block, words: np.ndarray, bounds: np.ndarray, settings: DecontamSettings) -> Iterator[tuple]:
+    index, stride = block.index, block.stride
     place = np.minimum(np.searchsorted(index.terms, words), len(index.terms) - 1)
     hits = np.flatnonzero(index.terms[place] == words)
     row = np.searchsorted(bounds, hits, side="right") - 1
@@ -242,7 +260,7 @@ def _matches(block: _Block, texts: list, settings: DecontamSettings) -> Iterator
             if seen is None or (question, answer or 0.0, score) > (seen[1], seen[2] or 0.0, seen[0]):
                 best[r, item] = (score, question, answer)
     for (r, item), found in sorted(best.items()):
-        yield r, item, *found
+        yield r, block.item_ids[item], *found
 
 
 def _holds(shared, settings: DecontamSettings):
@@ -284,7 +302,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontamSettings = De
             for frame in row_batches(frames, 4_000_000):
                 rows = []
                 for r, item, score, question, answer in _matches(shared.value, frame["text"].tolist(), settings):
-                    rows.append((frame["doc_id"].iloc[r], shared.value.item_ids[item], score, question, answer))
+                    rows.append((frame["doc_id"].iloc[r], item, score, question, answer))
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         found = docs.select("doc_id", "text").where("text is not null").mapInPandas(run, schema)

@@ -4,12 +4,15 @@ Features are hashed 1- to 3-grams of lower-cased characters, weighted by relativ
 term frequency times inverse document frequency; document frequencies are counted
 over every training document. Weights are learned with follow-the-regularised-leader
 under elastic-net penalties, on a bounded sample of labelled rows
-(``LangSettings.per_language`` rows of each language, ``max_rows`` in all), and a
-temperature fitted on held-back rows of that sample calibrates the scores.
+(``LangSettings.per_language`` rows of each language; every language that occurs is
+learned), and a temperature fitted on held-back rows of that sample calibrates the scores.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is
 every text when no labelled row can be learned from. Each input row gives one output
-row. Languages other than the most frequent ``max_languages`` are not learned.
+row. Of labelled rows with equal doc_id and language the least text is learned from, once;
+rows without doc_id are predicted, not learned from. Input columns named lang_pred or
+score are replaced; other columns stay. A task holds some 500,000 characters at a time, or
+one text, and about 30 bytes for each of its characters, if it is longer.
 """
 
 from __future__ import annotations
@@ -35,8 +38,6 @@ class LangSettings:
     bits: int = 16
     longest: int = 3
     per_language: int = 400
-    max_languages: int = 200
-    max_rows: int = 4000
     scale: float = 100.0
     ftrl: FtrlSettings = FtrlSettings(alpha=0.05, l1=0.02, l2=1e-3, epochs=8)
 
@@ -103,14 +104,12 @@ def document_frequencies(docs: DataFrame, settings: LangSettings) -> tuple[np.nd
 
 
 def labelled_sample(docs: DataFrame, settings: LangSettings) -> DataFrame:
-    """At most ``per_language`` rows of each of the commonest languages, by a hash of the id."""
-    slim = docs.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("_at"))
-    common = slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages)
-    slim = slim.join(F.broadcast(common.select("lang")), "lang")
+    """At most ``per_language`` rows of each language, by a hash of the id."""
+    slim = docs.where("doc_id is not null").select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("_at")).distinct()
     order = Window.partitionBy("lang").orderBy("_at", "doc_id")
     picked = slim.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= settings.per_language)
-    picked = picked.orderBy("_rank", "lang").limit(settings.max_rows).select("doc_id").distinct()
-    return docs.join(F.broadcast(picked), "doc_id")
+    rows = docs.join(F.broadcast(picked.select("doc_id", "lang")), ["doc_id", "lang"])  # per_language ids a language
+    return rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, settings: LangSettings = LangSettings()) -> LangModel | None:
@@ -128,7 +127,7 @@ def train(docs: DataFrame, settings: LangSettings = LangSettings()) -> LangModel
             yield pd.DataFrame(out, columns=["doc_id", "lang", "features", "weights"])
 
     picked = labelled_sample(docs, settings).mapInPandas(run, "doc_id string, lang string, features binary, weights binary")
-    sample = picked.limit(settings.max_rows * 2).toPandas().sort_values(["doc_id", "lang"], kind="stable")
+    sample = picked.toPandas().sort_values(["doc_id", "lang"], kind="stable")
     labels = sorted(set(sample["lang"]))
     if not labels:
         return None
@@ -193,7 +192,7 @@ def classify(model: LangModel, texts) -> tuple[list[str], np.ndarray]:
 def predict(docs: DataFrame, model: LangModel | None) -> DataFrame:
     """``docs`` with lang_pred and score appended; all columns of the input stay."""
     spark = ship(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # 2**bits by at most max_languages floats
+    shared = spark.sparkContext.broadcast(model)  # 2**bits floats for each language
 
     @F.pandas_udf("lang_pred string, score double")
     def scored(batches_in: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -18,8 +18,8 @@ sorted in one task.
 
 Defined results: a null text has no tokens; documents without tokens are never taken;
 null languages and sources are the leaf ``unknown``; children of weight 0 get nothing;
-repeated rows are each a document; a null doc_id orders as an empty id; an empty table
-gives no rows. Weights are integers of at most 10,000 and tokens number below 9 * 10**14.
+repeated rows are each a document; a row without doc_id is ordered by its text; an empty
+table gives no rows; other columns are ignored, but for those named in ``keep``. Weights are integers of at most 10,000 and tokens number below 9 * 10**14.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 WORDS = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "language", "source")
 
@@ -77,14 +79,15 @@ def budgets(leaves: DataFrame, budget: int, settings: MixSettings) -> DataFrame:
     return leaves.join(given, list(LEVELS))
 
 
-def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], settings: MixSettings = MixSettings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], settings: MixSettings = MixSettings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents taken: id, the levels, n_tokens, whole (passes) and prefix_tokens (of the last pass).
 
-    ``domain`` and ``weights`` (by level) are expressions over the columns domain, language and source.
+    ``domain`` and ``weights`` (by level) are expressions over the columns domain, language and source;
+    columns named in ``keep`` come last.
     """
     unknown = F.lit("unknown")
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), unknown).alias("language"), F.coalesce(F.col(source_col).cast("string"), unknown).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("n_tokens"))
-    slim = slim.where("n_tokens > 0").withColumn("domain", domain)
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), unknown).alias("language"), F.coalesce(F.col(source_col).cast("string"), unknown).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("n_tokens"), F.when(F.col(id_col).isNull(), F.md5(text_col)).alias("_name"), *keep)
+    slim = written(slim.where("n_tokens > 0").withColumn("domain", domain), "words")  # words are counted once
     leaves = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     for level in LEVELS:
         leaves = leaves.withColumn(f"{level}_weight", weights[level].cast("long"))
@@ -92,16 +95,16 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], settings: M
     plan = budgets(leaves, total * settings.numerator // settings.denominator, settings)
     plan = plan.select(*LEVELS, F.expr("given div tokens").alias("whole"), F.expr("given % tokens").alias("rest")).where("whole > 0 or rest > 0")
 
-    key = F.md5(F.concat_ws(":", F.lit(settings.seed), F.col("whole") + 1, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws(":", F.lit(settings.seed), F.col("whole") + 1, F.coalesce(F.col("doc_id").cast("string"), "_name")))
     placed = slim.join(plan, list(LEVELS)).withColumn("_key", key)
     placed = placed.withColumn("_bucket", F.substring("_key", 1, settings.bucket_digits))
     spots = [*LEVELS, "_bucket"]
     sums = placed.groupBy(*spots).agg(F.sum("n_tokens").alias("_n"))
     ahead = Window.partitionBy(*LEVELS).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*spots, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy(*spots).orderBy("_key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*spots).orderBy("_key", "doc_id", "n_tokens", *keep).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_ahead") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     taken = placed.join(sums, spots).withColumn("_start", start)
     prefix = F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - F.col("_start")))
     out = taken.withColumn("prefix_tokens", prefix.cast("long")).where("whole > 0 or prefix_tokens > 0")
-    return out.select("doc_id", *LEVELS, "n_tokens", F.col("whole").cast("long").alias("whole"), "prefix_tokens")
+    return out.select("doc_id", *LEVELS, "n_tokens", F.col("whole").cast("long").alias("whole"), "prefix_tokens", *keep)

@@ -85,7 +85,7 @@ def mix_sources(domain: str, weights: dict[str, str]) -> str:
     return rf"""
 WITH slim AS (
   SELECT *, {domain} AS domain FROM (
-    SELECT doc_id, coalesce(lang, 'unknown') AS language, coalesce(source, 'unknown') AS source,
+    SELECT doc_id, coalesce(lang, 'unknown') AS language, coalesce(source, 'unknown') AS source, coalesce(CAST(doc_id AS VARCHAR), md5(text)) AS name,
            len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents) WHERE n_tokens > 0
 ), leaves AS (
   SELECT domain, language, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens FROM slim GROUP BY ALL
@@ -93,7 +93,7 @@ WITH slim AS (
 plan AS (
   SELECT domain, language, source, given // tokens AS whole, given % tokens AS rest FROM leaves JOIN b2 USING (domain, language, source)
 ), placed AS (
-  SELECT *, md5(concat_ws(':', '17', CAST(whole + 1 AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), ''))) AS k
+  SELECT *, md5(concat_ws(':', '17', CAST(whole + 1 AS VARCHAR), name)) AS k
   FROM slim JOIN plan USING (domain, language, source)
 ), started AS (
   SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, language, source ORDER BY k, doc_id, n_tokens

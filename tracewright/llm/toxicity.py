@@ -6,12 +6,15 @@ penalised beside the log loss. A term that merely co-occurs with toxic labels th
 gains little weight of its own, which lowers false positives on neutral mentions.
 Weights are learned with follow-the-regularised-leader (elastic net) on a bounded
 sample of labelled rows (``ToxSettings.max_rows`` of each label). Each word of a text counts
-once, wherever it stands; scoring reads whole texts.
+once, wherever it stands; scoring reads whole texts, about 1 MB at a time, or one text and
+some 40 bytes for each of its characters if it is longer.
 
 Defined results: a null text is an empty one; empty texts get the score that the bias
 alone gives; without labels of both kinds every score is 0. Each input row gives one
 output row. A label row whose doc_id is null or absent from the documents is ignored;
-a doc_id labelled more than once is toxic if any of its labels says so.
+a doc_id labelled more than once is toxic if any of its labels says so; of documents with
+one doc_id the least text is learned from. Input columns named score or predicted are
+replaced; other columns stay.
 """
 
 from __future__ import annotations
@@ -67,11 +70,20 @@ def _distinct(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, settings: ToxSettings) -> DataFrame:
-    """Labelled rows, at most ``max_rows`` of each label, chosen by a hash of the id."""
+    """Labelled rows, at most ``max_rows`` of each label, chosen by a hash of the id.
+
+    Each label's count bounds the hashes first, to about one and a half times the rows
+    wanted, so no label is sorted whole.
+    """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = marked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= settings.max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
+    marked = marked.withColumn("_at", F.xxhash64(F.col("doc_id").cast("string")))
+    share = F.least(F.lit(1.0), (1.5 * settings.max_rows + 100) / F.count("*"))
+    wide = marked.groupBy("toxic").agg((share * 2**32).alias("_most"))  # a row for each label
+    few = marked.join(F.broadcast(wide), "toxic").where(F.pmod("_at", F.lit(2**32)) <= F.col("_most"))
+    order = Window.partitionBy("toxic").orderBy(F.pmod("_at", F.lit(2**32)), "_at", "doc_id")
+    chosen = few.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= settings.max_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: ToxSettings = ToxSettings()) -> ToxModel | None:
@@ -90,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: ToxSettings = ToxSetting
             yield pd.DataFrame(out, columns=["doc_id", "toxic", "own", "other"])
 
     rows = _sample(docs, labels, settings).mapInPandas(run, "doc_id string, toxic int, own binary, other binary")
-    sample = rows.limit(settings.max_rows * 4).toPandas().sort_values(["doc_id", "toxic"], kind="stable")
+    sample = rows.toPandas().sort_values(["doc_id", "toxic"], kind="stable")
     sample = sample.drop_duplicates(["own", "other", "toxic"])  # copies would count a text many times
     return fit(sample, settings) if sample["toxic"].nunique() == 2 else None
 
