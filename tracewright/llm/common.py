@@ -12,8 +12,6 @@ import uuid
 import zipfile
 from pathlib import Path
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,25 +98,26 @@ def row_batches(frames, budget: int = 1_000_000, column: str = "text"):
 BLOOM_BITS = 1 << 26
 
 
-def bloom(ids: DataFrame, column: str, bits: int = BLOOM_BITS):
-    """A Bloom filter of a column of longs, of a fixed size whatever the data, as a broadcast.
+def bloom(ids: DataFrame, column: str, bits: int = BLOOM_BITS) -> DataFrame:
+    """A Bloom filter of a column of longs, of a fixed size whatever the data: at most bits / 32768 rows of 4 KB.
 
     It only spares work ahead of a join: fuller filters let more rows through.
     """
-    hashed = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64(column, F.lit(k)), F.lit(bits)) for k in range(2)))).alias("bit"))
+    hashed = ids.select(F.explode(F.array(*_spots(column, bits))).alias("bit"))
     blocks = hashed.groupBy(F.floor(F.col("bit") / 32768).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("map"))
-    table = np.zeros(bits // 8, dtype=np.uint8)
-    for row in blocks.collect():  # at most bits / 32768 blocks of 4 KB
-        table[row["block"] * 4096 : row["block"] * 4096 + len(row["map"])] = np.frombuffer(row["map"], np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(table)
+    return written(blocks, "bloom")
 
 
-def in_bloom(column: str, shared, bits: int = BLOOM_BITS) -> Column:
-    @F.pandas_udf("boolean")
-    def test(a: pd.Series, b: pd.Series) -> pd.Series:
-        table, hit = shared.value, np.ones(len(a), dtype=bool)
-        for at in (a.to_numpy(), b.to_numpy()):
-            hit &= (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return pd.Series(hit)
+def _spots(column: str, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(column, F.lit(k)), F.lit(bits)) for k in range(2)]
 
-    return test(*(F.pmod(F.xxhash64(column, F.lit(k)), F.lit(bits)) for k in range(2)))
+
+def in_bloom(df: DataFrame, column: str, blocks: DataFrame, flag: str, bits: int = BLOOM_BITS) -> DataFrame:
+    """``df`` with a boolean column ``flag``: whether the filter holds the value. No Python worker is needed."""
+    hit = F.lit(True)
+    for k, at in enumerate(_spots(column, bits)):
+        side = F.broadcast(blocks.toDF(f"{flag}{k}", f"{flag}map{k}"))  # of a fixed size
+        df = df.join(side, F.floor(at / 32768).cast("int") == F.col(f"{flag}{k}"), "left")
+        byte = F.conv(F.hex(F.substring(f"{flag}map{k}", F.floor(at % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = hit & F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")) % 2 == 1, F.lit(False))
+    return df.withColumn(flag, hit).drop(*(f"{flag}{x}{k}" for k in range(2) for x in ("", "map")))

@@ -324,11 +324,11 @@ def deduplicate(docs: DataFrame, settings: DedupSettings = DedupSettings()) -> D
     todo = written(_gathered(live, (OPEN, SPOKESMAN)), "open")
     windows = todo.agg(F.sum("windows")).first()[0] or 0
     parts = max(least, math.ceil(windows / settings.part_rows))
-    texts = docs.where(in_bloom("name", bloom(todo.select("name"), "name")))
+    texts = in_bloom(docs, "name", bloom(todo, "name"), "_todo").where("_todo").select("name", "text")
     singles = written(_settle(_deal_windows(texts.join(todo, "name"), parts, settings), np.uint32, None, buckets, settings), "windows")
     forget(spark)
 
     hits = written(_gathered(live.unionAll(singles), (REPEATED, SPOKESMAN)), "hits")
-    marked = docs.withColumn("_hit", in_bloom("name", bloom(hits.select("name"), "name")))
+    marked = in_bloom(docs, "name", bloom(hits, "name"), "_hit")
     untouched = marked.where("not _hit").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
     return untouched.unionAll(_cut_out(marked.where("_hit").join(hits, "name", "left"), settings))
