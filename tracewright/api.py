@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections import defaultdict
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from .functions.scalar import shown
 from .model import FINAL, INITIAL, INNER, EventLog
@@ -74,6 +75,14 @@ def discover(log: EventLog, parameters: MinerParameters = MinerParameters(), wei
     return Discovery(found, events, kinds, near, net, balance)
 
 
+def _at_places(net: nets.FlowNet, otype: str, measure: DataFrame) -> list[tuple[int, Row]]:
+    """Each variant's measure with the place of the type's initial inputs or final outputs there."""
+    ends = net.places.where(F.col("otype") == otype).select("place", F.when(F.col("is_initial"), INITIAL).when(F.col("is_final"), FINAL).alias("role"))
+    at = net.arcs.join(ends, "place").select(F.col("transition").alias("variant_id"), "role", "place")
+    rows = measure.join(at, ["variant_id", "role"]).orderBy("place", "variant_id").collect()  # as many as the model has arcs
+    return [(r["place"], r) for r in rows]
+
+
 class ObjectFlowMiner:
     """Nets with weighted or variable arcs, plain or annotated."""
 
@@ -99,13 +108,13 @@ class ObjectFlowMiner:
         live = found.events.join(found.variants.select("variant_id"), "variant_id", "left_semi")
         # A later measure of the same key replaces an earlier one.
         for otype in p.annotate_objects_count:
-            for r in waste.type_count(found.roles, live, otype).collect():  # one row a variant, here and below
-                notes[r["variant_id"]][otype] = f"{otype}: {r['total']}"
+            for place, r in _at_places(found.net, otype, waste.type_count(found.roles, live, otype)):
+                notes[place][r["variant_id"], "count"] = f"{otype}: {r['total']}"
         for otype in p.annotate_objects_mass:
-            for r in waste.type_mass(found.roles, masses, live, otype).collect():
-                notes[r["variant_id"]][otype] = f"{otype} mass: avg {shown(r['rounded'])} / total {shown(r['total'])}"
+            for place, r in _at_places(found.net, otype, waste.type_mass(found.roles, masses, live, otype)):
+                notes[place][r["variant_id"], "mass"] = f"{otype} mass: avg {shown(r['rounded'])} / total {shown(r['total'])}"
         for activity in p.annotate_explicit:
-            for r in waste.explicit_waste(live, log.events, activity, "mass").collect():
+            for r in waste.explicit_waste(live, log.events, activity, "mass").collect():  # one row a variant, here and below
                 notes[r["variant_id"]]["explicit"] = f"Explicit mass: avg {shown(r['average'])} / total {shown(r['total'])}"
         for activity in p.annotate_implicit_count:
             for r in waste.implicit_count(found.roles, live, activity).collect():

@@ -8,19 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def scale_of(number: Column) -> Column:
-    """Digits after the point that a decimal needs, trailing zeros aside."""
-    text = number.cast("string")
-    tail = F.regexp_extract(text, r"\.(\d*?)0*$", 1)
-    return F.length(tail)
-
-
-def round_like(value: Column, like: Column, most: int = 6) -> Column:
-    """``value`` rounded half up to the digits after the point of ``like``."""
-    out = F.round(value, most)
-    for digits in range(most - 1, -1, -1):
-        out = F.when(scale_of(like) == digits, F.round(value, digits).cast(f"decimal(28,{most})")).otherwise(out)
-    return out.cast(f"decimal(28,{most})")
+def round_like(value: Column, digits: Column, most: int = 18) -> Column:
+    """``value`` rounded half up to so many digits after the point."""
+    kind = f"decimal(38,{most})"
+    out = value.cast(kind)
+    for k in range(most - 1, -1, -1):
+        out = F.when(digits == k, F.round(value, k).cast(kind)).otherwise(out)
+    return out
 
 
 def seconds_to_timestamp(seconds: Column) -> Column:

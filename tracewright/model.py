@@ -17,7 +17,7 @@ INPUT, OUTPUT, INITIAL, FINAL, UNKNOWN = "input", "output", "initial", "final",
 ROLES = (INPUT, OUTPUT, INITIAL, FINAL, UNKNOWN)
 INNER = "inner"
 
-MASS = "decimal(28,6)"
+MASS = "decimal(38,18)"
 
 
 @dataclass(frozen=True)
@@ -47,8 +47,9 @@ class EventLog:
         return replace(self, **frames)
 
     def masses(self, attribute: str = "mass") -> DataFrame:
-        """oid, otype, and the base value of a numeric attribute."""
-        return self.objects.select("oid", "otype", F.col("attrs")[attribute].cast(MASS).alias("mass"))
+        """oid, otype, the base value of a numeric attribute, and the digits after its point as written (mass_scale)."""
+        text = F.col("attrs")[attribute]
+        return self.objects.select("oid", "otype", text.cast(MASS).alias("mass"), F.length(F.regexp_extract(text, r"\.(\d+)$", 1)).alias("mass_scale"))
 
     def summary(self) -> DataFrame:
         """(kind, name, n): totals of events, objects and relations, and counts by activity and type."""

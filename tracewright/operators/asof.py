@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import MASS
+
 #: Which changes count, by time against the probe's.
 BEFORE, BEFORE_AND_CURRENT, NEXT = "before", "before_and_current", "next"
 
@@ -64,6 +66,6 @@ def running_balance(base: DataFrame, uses: DataFrame, loss: str = "0.02") -> Dat
     """
     order = Window.partitionBy("oid").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     used = uses.withColumn("_used", F.sum(F.col("mass") * (F.lit(1) + F.lit(loss).cast("decimal(10,6)"))).over(order))
-    left = used.join(base.select("oid", F.col("mass").alias("_base")), "oid").withColumn("balance", (F.col("_base") - F.col("_used")).cast("decimal(28,6)"))
+    left = used.join(base.select("oid", F.col("mass").alias("_base")), "oid").withColumn("balance", (F.col("_base") - F.col("_used")).cast(MASS))
     fine = F.when(F.col("balance") < 0, F.raise_error(F.concat(F.lit("negative mass of "), F.col("oid"))).cast("boolean")).otherwise(F.lit(True))
     return left.where(fine).select("oid", "seq", "mass", "balance")

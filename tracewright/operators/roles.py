@@ -56,8 +56,21 @@ def object_use(relations: DataFrame, hints: Hints | None = None) -> DataFrame:
 
 
 def event_classes(relations: DataFrame, hints: Hints | None = None) -> DataFrame:
-    """(eid, activity, ts, event_class) of every event."""
-    return object_use(relations, hints).groupBy("eid").agg(F.first("activity").alias("activity"), F.first("ts").alias("ts"), F.first("event_class").alias("event_class"))
+    """(eid, activity, ts, event_class) of every event.
+
+    The extremes of its objects' first and last times decide an event's class, so two
+    grouped aggregates do, and no object's rows are sorted.
+    """
+    ends = relations.groupBy("oid").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    free = ~_hinted(hints or {}, inner=False)
+    of = lambda f, c: f(F.when(free, F.col(c)))
+    head = F.min_by(F.struct("activity", "ts"), F.struct("seq", "oid")).alias("_head")
+    spans = of(F.min, "first_ts").alias("_f0"), of(F.max, "first_ts").alias("_f1"), of(F.min, "last_ts").alias("_l0"), of(F.max, "last_ts").alias("_l1")
+    rows = relations.join(ends, "oid").groupBy("eid").agg(head, *spans).select("eid", "_head.activity", "_head.ts", "_f0", "_f1", "_l0", "_l1")
+    ts = F.col("ts")
+    before, after, not_before, not_after = F.col("_f1") < ts, ts < F.col("_l0"), F.col("_f0") >= ts, F.col("_l1") <= ts
+    cls = F.when(F.col("_f1").isNull() | before & after, 0).when(before, 1).when(after, 2).when(not_before & not_after, 3).when(not_after, 4).when(not_before, 5).otherwise(6)
+    return rows.select("eid", "activity", "ts", cls.cast("int").alias("event_class"))
 
 
 def class_histogram(relations: DataFrame, hints: Hints | None = None) -> DataFrame:

@@ -56,6 +56,11 @@ def object_instances(roles: DataFrame, events: DataFrame, check: bool = True) ->
     return found.drop("_finals")
 
 
+def second_finals(roles: DataFrame) -> DataFrame:
+    """(oid, otype, finals) of objects with more than one final output, which :func:`object_instances` rejects."""
+    return roles.where(F.col("role") == FINAL).groupBy("oid").agg(F.first("otype").alias("otype"), F.count("*").alias("finals")).where("finals > 1")
+
+
 def numbered(variants_: DataFrame) -> DataFrame:
     """Variants with act_order and var_order: activities by first event, then variants by theirs."""
     first = F.min(F.struct("first_seq", "first_eid")).over(Window.partitionBy("activity"))

@@ -13,10 +13,24 @@ from .net import IN, FlowNet
 PALETTE = ("#4e79a7", "#f28e2b", "#e15759", "#76b7b2", "#59a14f", "#edc948", "#b07aa1", "#ff9da7", "#9c755f", "#bab0ac")
 
 
+# Colours of some types, by name.
+NAMED = {
+    "Container": "#00bfff",
+    "Handling Unit": "#32cd32",
+    "Transport Document": "#7b68ee",
+    "Customer Order": "#ffa500",
+    "Truck": "#ff0000",
+    "Forklift": "#ff1493",
+    "Workstation": "#e18ceb",
+    "Worker": "#1f3721",
+    "Machine": "#3B3B3B",
+}
+
+
 def colours(types: list[str]) -> dict[str, str]:
-    """A colour for each type; beyond the palette, one made from the type's name."""
-    out = {}
-    for k, name in enumerate(sorted(types)):
+    """A colour for each type: its own, or the next of the palette; beyond that, one made from its name."""
+    out = {name: NAMED[name] for name in types if name in NAMED}
+    for k, name in enumerate(sorted(set(types) - set(NAMED))):
         made = sum((i + 1) * ord(c) * 2654435761 for i, c in enumerate(name)) & 0xFFFFFF
         out[name] = PALETTE[k] if k < len(PALETTE) else f"#{made:06x}"
     return out

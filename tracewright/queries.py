@@ -168,8 +168,12 @@ def labels_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- variants and filters --------------------------------------------------------------
 
 
+def _cut_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(_order_roles(spark, sf_dir), "roles")
+
+
 def _variant_parts(spark: SparkSession, sf_dir: str, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
-    found = cut(_order_roles(spark, sf_dir), "roles")
+    found = _cut_roles(spark, sf_dir)
     return found, cut(variants.variant_events(found, weighted), "variant-events")
 
 
@@ -201,7 +205,13 @@ _INSTANCES = """inst AS (
 
 @_register("object_instances", f"WITH {_V}, {_INSTANCES} SELECT * FROM inst")
 def object_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.object_instances(*_variant_parts(spark, sf_dir))
+    """Of an object's several last events, which day-long ticks allow, the last by event id counts."""
+    return variants.object_instances(*_variant_parts(spark, sf_dir), check=False)
+
+
+@_register("second_finals", f"WITH {_R} SELECT oid, min(otype) AS otype, count(*) AS finals FROM roles WHERE role = 'final' GROUP BY oid HAVING count(*) > 1")
+def second_finals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.second_finals(_order_roles(spark, sf_dir))
 
 
 _FILTERED_REL = _REL.replace("rel AS (", "rel0 AS (") + ", rel AS (SELECT * FROM rel0 WHERE otype <> 'customer')"
@@ -233,7 +243,20 @@ def assoc_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.filter_associations(near, filters.above(_BETA)).select("variant_id", "role", "otype", "adj_activity", "n")
 
 
-@_register("keep_general")
+_GENERAL = f"""{_R}, {_variants_sql(True)}, sig AS (
+  SELECT vs.variant_id, vs.activity, n_events, first_eid, coalesce(list(role || ':' || otype ORDER BY role, otype) FILTER (role <> 'unknown'), []) AS types, coalesce(list(m ORDER BY role, otype) FILTER (role <> 'unknown'), []) AS many
+  FROM vs JOIN parts ON parts.eid = vs.first_eid GROUP BY ALL
+), placed AS (SELECT *, row_number() OVER (ORDER BY activity, first_eid, variant_id) AS idx FROM sig
+), below AS (
+  SELECT p.idx AS p, q.idx AS q, p.many = q.many AS equal FROM placed p JOIN placed q ON p.activity = q.activity AND p.types = q.types AND p.idx <> q.idx
+  WHERE len(list_filter(list_zip(p.many, q.many), lambda z: z[1] > z[2])) = 0
+), over AS (SELECT p, q FROM below WHERE NOT equal OR q > p
+), parent AS (SELECT p, min(q) AS q FROM over WHERE q > p OR q NOT IN (SELECT p FROM over) GROUP BY p
+), chase AS (SELECT idx, idx AS rep FROM placed UNION SELECT idx, parent.q FROM chase JOIN parent ON parent.p = rep
+), reps AS (SELECT idx, rep FROM chase WHERE rep NOT IN (SELECT p FROM parent))"""
+
+
+@_register("keep_general", f"WITH RECURSIVE {_GENERAL}, sums AS (SELECT rep, sum(n_events) AS n FROM reps JOIN placed USING (idx) GROUP BY rep) SELECT variant_id, activity, CAST(n AS BIGINT) AS n_events FROM placed JOIN sums ON rep = idx")
 def keep_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = variants.variants(_variant_parts(spark, sf_dir, True)[1])
     return filters.keep_general(kinds).select("variant_id", "activity", "n_events")
@@ -269,7 +292,7 @@ _VERDICT = f"""tot AS (SELECT {_TOTALS} FROM roles JOIN mass USING (oid)
 @_register("mfa_verdict", f"WITH {_R}, {_MASS}, {_VERDICT} SELECT otype, side FROM verdict")
 def mfa_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = order_log(spark, sf_dir)
-    balance = massbalance.resolve(role_ops.roles(log.relations), log.masses())
+    balance = massbalance.resolve(_cut_roles(spark, sf_dir), log.masses())
     return spark.createDataFrame(sorted(balance.verdict.items()), "otype string, side string")
 
 
@@ -280,7 +303,7 @@ _RESOLVED = f"""{_R}, {_MASS}, {_VERDICT}, resolved AS (
 @_register("roles_resolved", f"WITH {_RESOLVED} SELECT activity, otype, role, count(*) AS n FROM resolved GROUP BY ALL")
 def roles_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = order_log(spark, sf_dir)
-    balance = massbalance.resolve(role_ops.roles(log.relations), log.masses())
+    balance = massbalance.resolve(_cut_roles(spark, sf_dir), log.masses())
     return balance.roles.groupBy("activity", "otype", "role").agg(F.count("*").alias("n"))
 
 
@@ -298,7 +321,7 @@ def system_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("explicit_waste", f"WITH {_V} SELECT variant_id, CAST(3 * count(*) AS DOUBLE) AS total, CAST(3 AS DOUBLE) AS average FROM vev WHERE activity = 'Ship' GROUP BY variant_id")
 def explicit_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = order_log(spark, sf_dir)
-    events = variants.variant_events(role_ops.roles(log.relations))
+    _, events = _variant_parts(spark, sf_dir)
     return waste.explicit_waste(events, log.events, "Ship", "mass").select("variant_id", F.col("total").cast("double").alias("total"), F.col("average").cast("double").alias("average"))
 
 
@@ -314,8 +337,8 @@ def implicit_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT variant_id, CAST(sum(d) AS DOUBLE) AS total, round(CAST(sum(d) AS DOUBLE) / count(*), 4) AS average FROM each GROUP BY variant_id""")
 def implicit_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = order_log(spark, sf_dir)
-    found = role_ops.roles(log.relations)
-    got = waste.implicit_mass(found, log.masses(), variants.variant_events(found), "Ship")
+    found, events = _variant_parts(spark, sf_dir)
+    got = waste.implicit_mass(found, log.masses(), events, "Ship")
     return got.select("variant_id", F.col("total").cast("double").alias("total"), F.round(F.col("average").cast("double"), 4).alias("average"))
 
 
@@ -324,12 +347,12 @@ def type_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waste.type_count(*_variant_parts(spark, sf_dir), "item")
 
 
-@_register("type_mass", f"WITH {_V}, {_MASS} SELECT variant_id, role, CAST(sum(mass) AS DOUBLE) AS total, round(CAST(sum(mass) AS DOUBLE) / count(*), 4) AS average FROM vev JOIN roles USING (eid) JOIN mass USING (oid) WHERE otype = 'item' AND role IN ('initial', 'final') GROUP BY ALL")
+@_register("type_mass", f"WITH {_V}, {_MASS} SELECT variant_id, role, CAST(sum(mass) AS DOUBLE) AS total, round(CAST(sum(mass) AS DOUBLE) / count(*), 4) AS average, round(CAST(sum(mass) AS DOUBLE) / count(*), 2) AS rounded FROM vev JOIN roles USING (eid) JOIN mass USING (oid) WHERE otype = 'item' AND role IN ('initial', 'final') GROUP BY ALL")
 def type_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = order_log(spark, sf_dir)
-    found = role_ops.roles(log.relations)
-    got = waste.type_mass(found, log.masses(), variants.variant_events(found), "item")
-    return got.select("variant_id", "role", F.col("total").cast("double").alias("total"), F.round(F.col("average").cast("double"), 4).alias("average"))
+    found, events = _variant_parts(spark, sf_dir)
+    got = waste.type_mass(found, log.masses(), events, "item")
+    return got.select("variant_id", "role", F.col("total").cast("double").alias("total"), F.round(F.col("average").cast("double"), 4).alias("average"), F.col("rounded").cast("double").alias("rounded"))
 
 
 # --- attributes as of a time ------------------------------------------------------------------
@@ -485,23 +508,37 @@ def related_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformance.related_objects(log)
 
 
-@_register("case_ids", """WITH RECURSIVE it AS (SELECT DISTINCT l_orderkey || l_returnflag AS eid, 'i' || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS oid FROM lineitem
+_CASES = """it AS (SELECT DISTINCT l_orderkey || l_returnflag AS eid, 'i' || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS oid FROM lineitem
 ), e AS (SELECT DISTINCT a.oid AS x, b.oid AS y FROM it a JOIN it b USING (eid)
 ), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
 ), c AS (SELECT x AS oid, min(y) AS component FROM r GROUP BY x
 ), s AS (SELECT *, (row_number() OVER (PARTITION BY component ORDER BY oid) - 1) // 50 AS chunk FROM c)
-SELECT oid, string_agg(oid, '-') OVER (PARTITION BY component, chunk ORDER BY oid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS case_id FROM s""")
+, cases AS (SELECT oid, string_agg(oid, '-') OVER (PARTITION BY component, chunk ORDER BY oid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS case_id FROM s)"""
+
+
+@_register("case_ids", f"WITH RECURSIVE {_CASES} SELECT * FROM cases")
 def case_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformance.cases(conformance.related_objects(order_log(spark, sf_dir), "item"))
 
 
-@_register("group_markings")
+@_register("case_log", f"WITH RECURSIVE {_REL}, {_CASES} SELECT case_id, activity, epoch_us(ts) AS ts_us, eid FROM rel LEFT JOIN cases USING (oid) WHERE otype = 'item'")
+def case_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items' relations, relabelled by case."""
+    log = order_log(spark, sf_dir)
+    rows = conformance.flattened(log, "item", conformance.cases(conformance.related_objects(log, "item")))
+    return rows.select("case_id", "activity", F.unix_micros("ts").alias("ts_us"), "eid")
+
+
+@_register("group_markings", f"""WITH RECURSIVE {_NET}, {_INSTANCES}, {_CASES}, tok AS (
+  SELECT i.oid, k.idx AS place, 'initial' AS side FROM inst i JOIN arcs1 a ON a.transition = i.initial_variant_id JOIN kept k ON k.idx = a.idx AND k.is_initial AND k.otype = 'item' WHERE i.otype = 'item'
+  UNION ALL SELECT i.oid, k.idx, 'final' FROM inst i JOIN arcs1 a ON a.transition = i.final_variant_id JOIN kept k ON k.idx = a.idx AND k.is_final AND k.otype = 'item' WHERE i.otype = 'item')
+SELECT case_id, CAST(place AS INTEGER) AS place, side, count(*) AS n FROM tok JOIN cases USING (oid) GROUP BY ALL""")
 def group_markings(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = order_log(spark, sf_dir)
     found, events = _variant_parts(spark, sf_dir)
     net = nets.build(variants.variants(events), variants.associations(found, events))
     case_of = conformance.cases(conformance.related_objects(log, "item"))
-    return conformance.markings(net, variants.object_instances(found, events), case_of, "item")
+    return conformance.markings(net, variants.object_instances(found, events, check=False), case_of, "item")
 
 
 @_register("fitness")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pathlib import Path
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -19,8 +19,11 @@ _EVENT = "_id string, _type string, _time string, attributes struct<attribute:ar
 
 
 def read_log(spark: SparkSession, path: str) -> EventLog:
-    """Read by suffix: .xml, .xmlocel; .sqlite, .db."""
+    """Read by suffix: .xml, .xmlocel; .sqlite, .db; .ocel is either, by its first line."""
     suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix == "ocel":
+        first = spark.read.text(path).first()
+        suffix = "sqlite" if first is not None and first[0].startswith("SQLite format 3") else "xml"
     if suffix in ("xml", "xmlocel"):
         return read_xml(spark, path)
     if suffix in ("sqlite", "db"):
@@ -29,8 +32,9 @@ def read_log(spark: SparkSession, path: str) -> EventLog:
 
 
 def write_log(log: EventLog, path: str) -> None:
+    """Write by suffix, as :func:`read_log` reads; .ocel is written as XML."""
     suffix = path.rsplit(".", 1)[-1].lower()
-    if suffix in ("xml", "xmlocel"):
+    if suffix in ("xml", "xmlocel", "ocel"):
         write_xml(log, path)
     elif suffix in ("sqlite", "db"):
         write_sqlite(log, path)
@@ -44,10 +48,9 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 
 def _log(spark: SparkSession, events: DataFrame, objects: DataFrame, relations: DataFrame, changes: DataFrame, o2o: DataFrame) -> EventLog:
-    """Relations get the activity and time of their event and the type of their object."""
-    relations = relations.join(events.select("eid", "activity", "ts", F.col("seq").alias("_event")), "eid").join(objects.select("oid", "otype"), "oid")
-    order = F.col("_event") * 1_000_000 + F.col("_at")
-    relations = relations.select("eid", "activity", "ts", "oid", "otype", "qualifier", order.alias("seq"))
+    """Relations (eid, oid, qualifier, seq) get the activity and time of their event and the type of their object."""
+    relations = relations.join(events.select("eid", "activity", "ts"), "eid").join(objects.select("oid", "otype"), "oid")
+    relations = relations.select("eid", "activity", "ts", "oid", "otype", "qualifier", "seq")
     return EventLog(events, objects, relations, changes, o2o)
 
 
@@ -59,11 +62,13 @@ def read_xml(spark: SparkSession, path: str) -> EventLog:
     objects = raw_objects.select(F.col("_id").alias("oid"), F.col("_type").alias("otype"), stamped.alias("a"), "seq", "objects")
     is_base = lambda a: a["ts"] == F.timestamp_seconds(F.lit(0))
     base = F.map_from_entries(F.transform(F.filter("a", is_base), lambda a: F.struct(a["name"], a["value"])))
-    changes = objects.select("oid", "otype", "seq", F.posexplode(F.filter("a", lambda a: ~is_base(a)))).select("oid", "otype", "col.ts", F.col("col.name").alias("field"), "col.value", (F.col("seq") * 1_000_000 + F.col("pos")).alias("seq"))
+    changes = objects.select("oid", "otype", F.explode(F.filter("a", lambda a: ~is_base(a)))).select("oid", "otype", "col.ts", F.col("col.name").alias("field"), "col.value")
+    changes = _numbered(changes)
     o2o = objects.select("oid", F.explode("objects.relationship").alias("r")).select("oid", F.col("r._object-id").alias("oid_2"), F.col("r._qualifier").alias("qualifier"))
     values = F.map_from_entries(F.transform(F.coalesce("attributes.attribute", F.array().cast("array<struct<_VALUE:string,_name:string>>")), lambda a: F.struct(a["_name"], a["_VALUE"])))
     events = raw_events.select(F.col("_id").alias("eid"), F.col("_type").alias("activity"), F.to_timestamp("_time").alias("ts"), values.alias("attrs"), "seq")
-    relations = raw_events.select(F.col("_id").alias("eid"), F.posexplode("objects.relationship").alias("_at", "r")).select("eid", F.col("r._object-id").alias("oid"), F.col("r._qualifier").alias("qualifier"), "_at")
+    relations = raw_events.select(F.col("_id").alias("eid"), F.explode("objects.relationship").alias("r")).select("eid", F.col("r._object-id").alias("oid"), F.col("r._qualifier").alias("qualifier"))
+    relations = _numbered(relations)
     return _log(spark, events, objects.select("oid", "otype", base.alias("attrs")), relations, changes, o2o)
 
 
@@ -173,8 +178,7 @@ def read_sqlite(spark: SparkSession, path: str) -> EventLog:
     base = object_rows.where("changed is null").groupBy("ocel_id").agg(F.min_by("attrs", "row").alias("attrs"))
     objects = load("object").join(base, "ocel_id", "left").select(F.col("ocel_id").alias("oid"), F.col("ocel_type").alias("otype"), F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("attrs"))
     changes = object_rows.where("changed is not null").select(F.col("ocel_id").alias("oid"), F.col("type").alias("otype"), "ts", F.col("changed").alias("field"), F.col("attrs")[F.col("changed")].alias("value"), F.col("row").alias("seq"))
-    relations = load("event_object").select(F.col("ocel_event_id").alias("eid"), F.col("ocel_object_id").alias("oid"), F.col("ocel_qualifier").alias("qualifier"), F.col("row").alias("_row"))
-    relations = relations.withColumn("_at", F.row_number().over(Window.partitionBy("eid").orderBy("_row")) - 1)
+    relations = load("event_object").select(F.col("ocel_event_id").alias("eid"), F.col("ocel_object_id").alias("oid"), F.col("ocel_qualifier").alias("qualifier"), F.col("row").alias("seq"))
     o2o = load("object_object").select(F.col("ocel_source_id").alias("oid"), F.col("ocel_target_id").alias("oid_2"), F.col("ocel_qualifier").alias("qualifier"))
     return _log(spark, events, objects, relations, changes, o2o)
 
