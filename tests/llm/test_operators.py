@@ -47,6 +47,14 @@ def test_secrets_match_regexes(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+def test_dozens_of_rules_share_one_automaton():
+    rules = tuple(secrets.Rule(f"k{i}", f"{chr(97 + i % 26)}{chr(97 + i // 26)}:[0-9]+", 5) for i in range(70))
+    scanner = secrets.Scanner(rules, *secrets.compile_rules(rules))
+    text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}:{'7' * (i % 4)}" for i in range(70)).encode()
+    want = sorted((m.start(), k, m.end()) for k, rule in enumerate(rules) for m in re.finditer(rule.pattern.encode(), text) if len(m[0]) >= 5)
+    assert scanner.spans(text) == want and len(want) > 30
+
+
 def test_minimal_automaton_is_smaller_and_equal():
     dfa, _ = secrets.compile_rules()
     assert dfa.table.shape[0] < 1000 and dfa.table.max() < dfa.table.shape[0]

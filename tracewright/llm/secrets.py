@@ -15,6 +15,8 @@ rows are repeated in the output.
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
@@ -51,6 +53,9 @@ RULES = (
 )
 
 
+_ONE_CLASS = re.compile(r"\[[^]^]+\]\+")
+
+
 # --- parsing -------------------------------------------------------------------
 
 
@@ -218,7 +223,7 @@ def determinise(nfa: _Nfa, starts: list[int], ends: dict[int, int], floating: bo
                 todo.append(reached)
             row.append(index[reached])
         rows.append(row)
-    accept = np.array([sum({1 << ends[s] for s in states if s in ends}) for states in index])
+    accept = np.array([sum({1 << ends[s] for s in states if s in ends}) for states in index], dtype=object)
     return minimise(Dfa(classes, np.array(rows), accept, 0))
 
 
@@ -238,8 +243,6 @@ def minimise(dfa: Dfa) -> Dfa:
 
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> tuple[Dfa, list[tuple[Dfa, Dfa]]]:
     """The combined automaton, and per rule the anchored forward and backward ones."""
-    if len(rules) > 8:
-        raise ValueError("at most eight rules share one automaton")
     joint, starts, ends, single = _Nfa(), [], {}, []
     for k, rule in enumerate(rules):
         a, b = joint.add(rule.pattern)
@@ -260,9 +263,14 @@ class Scanner:
         self.rules = rules
         self.classes = dfa.classes.tobytes()
         rows: list[list] = [[] for _ in dfa.table]
+        sets = sorted({0, *dfa.accept.tolist()})  # sets of rules that end together; the empty one comes first
+        number = {s: k for k, s in enumerate(sets)}
+        self.ends = [np.array([s >> k & 1 == 1 for s in sets]) for k in range(len(rules))]
+        self.few = len(sets) <= 256
+        self.plain = [_ONE_CLASS.fullmatch(rule.pattern) is not None for rule in rules]
         for row, targets, mask in zip(rows, dfa.table.tolist(), dfa.accept.tolist(), strict=True):
             row.extend(rows[t] for t in targets)
-            row.append(mask)
+            row.append(number[mask])
         self.start, self.mask = rows[dfa.start], itemgetter(dfa.table.shape[1])
         self.single = [tuple((d.classes.tolist(), d.table.tolist(), d.accept.tolist(), d.start) for d in pair) for pair in single]
 
@@ -291,15 +299,16 @@ class Scanner:
             return found
         path = accumulate(data.translate(self.classes), getitem, initial=self.start)
         next(path)
-        masks = np.frombuffer(bytes(map(self.mask, path)), dtype=np.uint8)
+        marks = map(self.mask, path)
+        masks = np.frombuffer(bytes(marks), np.uint8) if self.few else np.frombuffer(array("I", marks), np.uint32)
         hits = np.flatnonzero(masks)
         for k, rule in enumerate(self.rules):
-            at = hits[(masks[hits] >> k) & 1 == 1]
+            at = hits[self.ends[k][masks[hits]]]
             if not len(at):
                 continue
             cuts = np.flatnonzero(np.diff(at) > 1)
             firsts, lasts = at[np.r_[0, cuts + 1]], at[np.r_[cuts, len(at) - 1]]
-            if rule.kind == "hex":  # an unbounded run of one class: its hits are its bytes
+            if self.plain[k]:  # an unbounded run of one class: its hits are its bytes
                 long = lasts - firsts + 1 >= rule.least
                 found.extend((int(a), k, int(b) + 1) for a, b in zip(firsts[long], lasts[long], strict=True))
                 continue
