@@ -9,11 +9,12 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tracewright import queries as core
+from tracewright import more_queries as core
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = ["class_histogram", "class_table_users", "roles_hinted", "roles_inner", "variants_weighted", "variant_assoc", "object_instances", "variants_alpha", "assoc_beta", "mfa_verdict", "implicit_mass", "type_mass", "asof_before", "asof_next", "prev_same_activity", "running_balance", "net_self_loops", "related_objects"]
+MORE = [name for name, query in core.QUERIES.items() if query.__module__ == core.__name__]
 ROWS_ONLY = ["keep_general", "net_arcs", "net_stats", "case_ids", "group_markings", "fitness"]
 
 
@@ -33,7 +34,7 @@ def db():
         yield con
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", SAMPLE + MORE)
 def test_query_equals_sql(spark, db, name):
     got, want = core.QUERIES[name](spark, FOLDER), db.sql(core.ORACLES[name])
     assert sorted(got.columns) == sorted(want.columns)
@@ -52,5 +53,5 @@ def test_entry_names_agree(spark):
 
 def test_the_engine_does_not_need_the_llm_folder():
     root = Path(__file__).resolve().parent.parent.parent
-    code = "import sys; import tracewright.queries, tracewright.api; sys.exit(any(m.startswith('tracewright.llm') for m in sys.modules))"
+    code = "import sys; import tracewright.more_queries, tracewright.api; sys.exit(any(m.startswith('tracewright.llm') for m in sys.modules))"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, check=False).returncode == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import EventLog
@@ -55,3 +55,61 @@ def order_log(spark: SparkSession, sf_dir: str) -> EventLog:
     weight = F.create_map(F.lit("mass"), F.when(F.col("activity") == "Place", "2").otherwise("3")).alias("attrs")
     events = orders.select(*place).unionAll(ship.select(F.concat(F.lit("S"), F.col("l_orderkey"), F.col("l_returnflag")), F.lit("Ship"), "ts")).select("eid", "activity", "ts", weight, _seq())
     return EventLog.of(spark, relations, events, o.unionAll(c).unionAll(i))
+
+
+def flag_log(spark: SparkSession, sf_dir: str) -> EventLog:
+    """The orders of ``order_log`` alone, with an activity for each return flag."""
+    rows = order_log(spark, sf_dir).relations.where("otype = 'order'")
+    flagged = F.when(F.col("activity") == "Ship", F.concat(F.lit("Ship "), F.right("eid", F.lit(1)))).otherwise(F.col("activity"))
+    return EventLog.of(spark, rows.withColumn("activity", flagged))
+
+
+def workshop_log(spark: SparkSession, sf_dir: str) -> EventLog:
+    """A workshop: each order is a coil, from which every line splits a sheet; its sheets are assembled to a part.
+
+    A coil weighs twice its lines' quantities, a sheet its line's, a part nothing yet. Events
+    have a duration in seconds, assemblies a cut waste. Sheets have two changes of
+    mass, parts one.
+    """
+    lines = _read(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    lines = lines.select(F.col("l_orderkey").alias("k"), F.row_number().over(order).alias("n"), F.col("l_quantity").cast("decimal(18,2)").alias("q"), F.col("l_shipdate").cast("timestamp").alias("day"))
+    whole = lines.groupBy("k").agg(F.sum("q").alias("q"), (F.max("day") + F.expr("interval 1 day")).alias("ts"), F.collect_list("n").alias("ns"))
+    text = lambda c: c.cast("decimal(28,2)").cast("string")
+    attrs = lambda **named: F.create_map(*(x for k, v in named.items() for x in (F.lit(k), v))).alias("attrs")
+    named = lambda kind, c: F.concat(F.lit(f"{kind}:"), c).alias("oid")
+    sheet, otype = F.concat_ws("-", "k", "n"), lambda t: F.lit(t).alias("otype")
+    objects = lines.select(named("sheet", sheet), otype("SteelSheet"), attrs(mass=text(F.col("q"))))
+    objects = objects.unionAll(whole.select(named("coil", F.col("k")), otype("SteelCoil"), attrs(mass=text(F.col("q") * 2))))
+    objects = objects.unionAll(whole.select(named("part", F.col("k")), otype("FormedPart"), attrs(mass=F.lit("0.00"))))
+
+    splits = lines.select("k", "n", F.concat(F.lit("C"), sheet).alias("eid"), F.lit("Split").alias("activity"), F.timestamp_micros(F.unix_micros("day") + F.col("n") * 60_000_000).alias("ts"), attrs(duration=text(F.col("q") / 4)), (F.col("k") * 1000 + F.col("n")).alias("seq"))
+    joins = whole.select("k", "ns", F.concat(F.lit("A"), "k").alias("eid"), F.lit("Assemble").alias("activity"), "ts", attrs(duration=F.lit("1.50"), cut=F.concat(F.col("k") % 7, F.lit(".50"))), (F.col("k") * 1000 + 999).alias("seq"))
+    head, part = ["eid", "activity", "ts"], lambda at: (F.col("seq") * 1000 + at).alias("seq")
+    side = lambda q: F.lit(q).alias("qualifier")
+    relations = splits.select(*head, named("coil", F.col("k")), otype("SteelCoil"), side("input"), part(F.lit(0)))
+    relations = relations.unionAll(splits.select(*head, named("sheet", sheet), otype("SteelSheet"), side("output"), part(F.lit(1))))
+    relations = relations.unionAll(joins.select(*head, "k", "seq", F.explode("ns").alias("n")).select(*head, named("sheet", sheet), otype("SteelSheet"), side("input"), part(F.col("n"))))
+    relations = relations.unionAll(joins.select(*head, named("part", F.col("k")), otype("FormedPart"), side("output"), part(F.lit(0))))
+
+    twice = lines.select("k", "n", "q", "day", F.explode(F.array(F.lit(1), F.lit(2))).alias("c"))
+    field, later = F.lit("mass").alias("field"), lambda ts, hours: F.timestamp_micros(F.unix_micros(ts) + hours * 3_600_000_000).alias("ts")
+    changes = twice.select(named("sheet", sheet), otype("SteelSheet"), later("day", F.col("c")), field, text(F.col("q") + F.col("c")).alias("value"), (F.col("k") * 1000 + F.col("n") * 10 + F.col("c")).alias("seq"))
+    changes = changes.unionAll(whole.select(named("part", F.col("k")), otype("FormedPart"), "ts", field, text(F.col("q") / 2).alias("value"), (F.col("k") * 1000).alias("seq")))
+    made = ["eid", "activity", "ts", "attrs", "seq"]
+    return EventLog.of(spark, relations, splits.select(*made).unionAll(joins.select(*made)), objects, changes)
+
+
+def nation_log(spark: SparkSession, sf_dir: str) -> EventLog:
+    """A small log for files: regions found their nations, which are then renamed; a region links to each nation."""
+    nations, regions = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region")
+    both = nations.join(regions, nations["n_regionkey"] == regions["r_regionkey"]).select(F.concat(F.lit("n"), "n_nationkey").alias("nation"), F.concat(F.lit("r"), "r_regionkey").alias("region"), "n_name", "r_name", F.col("n_nationkey").cast("long").alias("seq"))
+    eid, activity, ts = F.concat(F.lit("F"), "nation").alias("eid"), F.lit("Found").alias("activity"), F.timestamp_seconds(F.col("seq") * 3600 + 1).alias("ts")
+    pair = F.explode(F.array(F.struct(F.col("region").alias("oid"), F.lit("region").alias("otype"), F.col("seq") * 2), F.struct(F.col("nation").alias("oid"), F.lit("nation").alias("otype"), F.col("seq") * 2 + 1))).alias("_o")
+    relations = both.select(eid, activity, ts, pair).select("eid", "activity", "ts", "_o.oid", "_o.otype", _qualifier(), F.col("_o.col3").alias("seq"))
+    events = both.select(eid, activity, ts, F.create_map(F.lit("by"), F.col("r_name")).alias("attrs"), "seq")
+    objects = both.select(F.col("nation").alias("oid"), F.lit("nation").alias("otype"), F.create_map(F.lit("name"), F.col("n_name")).alias("attrs"))
+    objects = objects.unionAll(regions.select(F.concat(F.lit("r"), "r_regionkey").alias("oid"), F.lit("region").alias("otype"), F.create_map(F.lit("name"), F.col("r_name")).alias("attrs")))
+    changes = both.select(F.col("nation").alias("oid"), F.lit("nation").alias("otype"), F.timestamp_seconds(F.col("seq") * 3600 + 1801).alias("ts"), F.lit("name").alias("field"), F.lower("n_name").alias("value"), "seq")
+    o2o = both.select(F.col("region").alias("oid"), F.col("nation").alias("oid_2"), F.lit("holds").alias("qualifier"))
+    return EventLog.of(spark, relations, events, objects, changes, o2o)
