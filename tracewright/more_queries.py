@@ -269,7 +269,7 @@ def labels_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("eid", "activity", "ts_sec", "event_class", "x.role", "x.otype", "x.oid", "x.adj_activity")
 
 
-_FILES = """WITH b AS (SELECT 'n' || n_nationkey AS nation, 'r' || r_regionkey AS region, n_name, r_name, n_nationkey AS seq FROM nation JOIN region ON n_regionkey = r_regionkey)
+_FILES = """WITH b AS (SELECT 'n' || n_nationkey AS nation, 'r' || r_regionkey AS region, n_name, r_name, CAST(n_nationkey AS BIGINT) AS seq FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT 'event' AS kind, 'Fn' || seq AS a, 'Found' AS b, r_name AS c, seq * 3600 + 1 AS sec FROM b
 UNION ALL SELECT 'object', nation, 'nation', n_name, NULL FROM b UNION ALL SELECT 'object', 'r' || r_regionkey, 'region', r_name, NULL FROM region
 UNION ALL SELECT 'relation', 'Fn' || seq, region, 'region', seq * 3600 + 1 FROM b UNION ALL SELECT 'relation', 'Fn' || seq, nation, 'nation', seq * 3600 + 1 FROM b
