@@ -104,3 +104,65 @@ plan AS (
 SELECT doc_id, domain, language, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(whole AS BIGINT) AS whole, CAST(prefix_tokens AS BIGINT) AS prefix_tokens
 FROM taken WHERE whole > 0 OR prefix_tokens > 0
 """
+
+
+SOURCE_DIVERGENCE = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), counted AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT d) AS docs FROM (SELECT d, lang, source, unnest(terms) AS term FROM docs) GROUP BY ALL
+), vocabulary AS MATERIALIZED (
+  SELECT lang, term, sum(n) AS total FROM counted GROUP BY ALL HAVING sum(docs) >= 10
+), groups AS MATERIALIZED (
+  SELECT g.lang, g.source, coalesce(sum(n) FILTER (v.term IS NOT NULL), 0) AS size
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN counted c USING (lang, source) LEFT JOIN vocabulary v ON v.lang = c.lang AND v.term = c.term GROUP BY ALL
+), sizes AS (
+  SELECT lang, count(*) AS kept, sum(total) AS lang_size FROM vocabulary GROUP BY lang
+), shares AS MATERIALIZED (
+  SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n,
+         CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (g.size + 2 * kept) AS HUGEINT) AS p,
+         CAST(1 + CAST(1000000000 AS HUGEINT) * (v.total + 2) // (lang_size + 2 * kept) AS HUGEINT) AS q
+  FROM groups g JOIN sizes USING (lang) JOIN vocabulary v USING (lang) LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def centroid_clusters(k: int = 8, dim: int = 64, scale: int = 1024, rounds: int = 10, seed: int = 3) -> str:
+    """Each round is two common tables: nearest centroids, then the floored means."""
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), m0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('{seed}:' || CAST(vec_id AS VARCHAR)), v) - 1 AS INTEGER) AS c, v AS m
+  FROM kept QUALIFY c < {k}
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, min(struct_pack(d := d, c := c)) AS best FROM (
+    SELECT r, c, CAST(list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept, m{i}) GROUP BY r
+)""")
+        if i < rounds:
+            steps.append(f"""m{i + 1} AS MATERIALIZED (
+  SELECT c, coalesce(n.m, m{i}.m) AS m FROM m{i} LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS m FROM (
+      SELECT c, j, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT best.c AS c, unnest(range({dim})) AS j, unnest(v) AS x FROM kept JOIN a{i} USING (r)) GROUP BY c, j) GROUP BY c) n USING (c)
+)""")
+    return ", ".join(steps) + f"""
+SELECT vec_id, best.c AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM kept JOIN a{rounds} USING (r) JOIN m{rounds} ON c = best.c
+"""

@@ -83,5 +83,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_token_planes, op3_ngram_jaccard, op4_toxicity, op5_suffix_dedup, op6_decontaminate, op7_mix_sources, op8_language_id, op9_line_dedup, op10_secret_scan)}
-ORACLES: dict[str, str] = {"op7_mix_sources": oracles.mix_sources(DOMAIN, WEIGHTS), "op9_line_dedup": oracles.LINE_DEDUP, "op1_mtree_top_k": oracles.TOP_K}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import divergence
+
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hamerly
+
+    return hamerly.report(hamerly.cluster(table(spark, sf_dir, "embeddings")), spark)
+
+
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pagetext
+
+    return pagetext.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_token_planes, op3_ngram_jaccard, op4_toxicity, op5_suffix_dedup, op6_decontaminate, op7_mix_sources, op8_language_id, op9_line_dedup, op10_secret_scan, op11_source_divergence, op12_centroid_clusters, op13_page_text)}
+ORACLES: dict[str, str] = {"op7_mix_sources": oracles.mix_sources(DOMAIN, WEIGHTS), "op9_line_dedup": oracles.LINE_DEDUP, "op1_mtree_top_k": oracles.TOP_K, "op11_source_divergence": oracles.SOURCE_DIVERGENCE, "op12_centroid_clusters": oracles.centroid_clusters()}
