@@ -85,7 +85,11 @@ def test_language_identification_equals_a_plain_refit(spark):
     tf = lambda t: {f: np.float32(c / len(grams(t))) * idf[f] * s.scale for f, c in Counter(grams(t)).items()}
     labels, data = sorted({r[2] for r in rows}), [(tf(r[1]), r[2]) for r in used]
     order = np.random.default_rng(SMALL.seed).permutation(len(data))
-    held, kept = order[: len(order) // 5], order[len(order) // 5 :]
+    place, count = Counter(), Counter(x[1] for x in data)
+    held, kept = [], []
+    for k in order:  # a fifth of each language calibrates
+        place[data[k][1]] += 1
+        (held if place[data[k][1]] <= count[data[k][1]] // 5 else kept).append(k)
     model = PlainFtrl(SMALL)
     raw = lambda x: np.array([model.w((-1, c)) + sum(v * model.w((f, c)) for f, v in x.items()) for c in range(3)])
     soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()

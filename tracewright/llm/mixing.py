@@ -19,7 +19,8 @@ sorted in one task.
 Defined results: a null text has no tokens; documents without tokens are never taken;
 null languages and sources are the leaf ``unknown``; children of weight 0 get nothing;
 repeated rows are each a document; a row without doc_id is ordered by its text; an empty
-table gives no rows; other columns are ignored, but for those named in ``keep``. Weights are integers of at most 10,000 and tokens number below 9 * 10**14.
+table gives no rows; other columns are ignored, but for those named in ``keep``. Weights are integers of at
+most 10**9 each and 10**12 in sum, and tokens times epochs number below 9 * 10**18.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from .common import written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "language", "source")
+WIDE = "decimal(38,0)"  # of products of tokens and weights, which pass a long's range
 
 
 @dataclass(frozen=True)
@@ -46,21 +48,22 @@ class MixSettings:
 
 def share(children: DataFrame, parent: list[str], name: str, budget: Column, capacity: str, weight: str) -> DataFrame:
     """Add ``given``: each child's part of its parent's budget."""
-    live = F.when(F.col(weight) > 0, F.col(capacity)).otherwise(F.lit(0)).cast("long")
-    rows = children.withColumn("_cap", live).withColumn("_w", F.greatest(F.col(weight), F.lit(0)).cast("long"))
+    live = F.when(F.col(weight) > 0, F.col(capacity)).otherwise(F.lit(0))
+    rows = children.withColumn("_cap", live.cast(WIDE)).withColumn("_w", F.greatest(F.col(weight), F.lit(0)).cast(WIDE))
     within = Window.partitionBy(*parent)
-    order = within.orderBy(F.col("_cap") / F.when(F.col("_w") > 0, F.col("_w")), name)
+    order = within.orderBy(F.col("_cap").cast("double") / F.when(F.col("_w") > 0, F.col("_w").cast("double")), name)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_total", F.least(budget, F.sum("_cap").over(within)))
     rows = rows.withColumn("_left", F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0)))
     rows = rows.withColumn("_later", F.sum("_w").over(within) - F.coalesce(F.sum("_w").over(before), F.lit(0)))
-    rows = rows.withColumn("_full", (F.col("_cap") * F.col("_later") <= F.col("_left") * F.col("_w")) | (F.col("_w") == 0))
+    full = (F.col("_cap") * F.col("_later")).cast(WIDE) <= (F.col("_left") * F.col("_w")).cast(WIDE)
+    rows = rows.withColumn("_full", full | (F.col("_w") == 0))
     rows = rows.withColumn("_rest", F.col("_total") - F.coalesce(F.sum(F.when(F.col("_full"), F.col("_cap"))).over(within), F.lit(0)))
-    rows = rows.withColumn("_open", F.when(F.col("_full"), F.lit(0)).otherwise(F.col("_w")))
+    rows = rows.withColumn("_open", F.when(F.col("_full"), F.lit(0)).otherwise(F.col("_w")).cast(WIDE))
     rows = rows.withColumn("_sum", F.sum("_open").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_all", F.greatest(F.sum("_open").over(within), F.lit(1)))
+    rows = rows.withColumn("_all", F.greatest(F.sum("_open").over(within), F.lit(1)).cast(WIDE))
     part = F.expr("_rest * _sum div _all - _rest * (_sum - _open) div _all")
-    rows = rows.withColumn("given", F.when(F.col("_full"), F.col("_cap")).otherwise(part))
+    rows = rows.withColumn("given", F.when(F.col("_full"), F.col("_cap").cast("long")).otherwise(part))
     return rows.drop("_cap", "_w", "_total", "_left", "_later", "_full", "_rest", "_open", "_sum", "_all")
 
 

@@ -7,6 +7,12 @@ rules of which some match ends there. Rare hits are then given their extent by a
 anchored automaton run forward and the reversed automaton run backward from the hit,
 so matches are leftmost, longest and non-overlapping within a rule.
 
+Rules may use ASCII characters, escapes, ``.``, ``\\d \\w \\s`` (ASCII) and their negations,
+classes and negated classes, plain and ``(?:)`` groups, ``|``, ``? * +`` and ``{n,m}``. A
+newline parts texts, so no class matches it. What cannot be an automaton over bytes, or has
+no meaning where the longest match counts, is an error: anchors, ``\\b``, lookaround,
+references, lazy repeats, flags.
+
 Defined results: a null or empty text has no spans; offsets count code points; other
 columns of the input are ignored; every input row gives one output row, so repeated
 rows are repeated in the output.
@@ -53,7 +59,11 @@ RULES = (
 )
 
 
-_ONE_CLASS = re.compile(r"\[[^]^]+\]\+")
+_ONE_CLASS = re.compile(r"\[[^]^\\]+\]\+")
+_COUNT = re.compile(r"\{(?=[0-9,]*[0-9])([0-9]*)(?:(,)([0-9]*))?\}")
+MOST_COPIES = 1000
+_CLASSES = {"d": frozenset(range(48, 58)), "s": frozenset((9, 11, 12, 13, 32)), "w": frozenset(b for b in range(128) if chr(b).isalnum() or b == 95)}
+_CONTROLS = {"t": "\t", "r": "\r", "f": "\f", "v": "\v", "n": "\n"}
 
 
 # --- parsing -------------------------------------------------------------------
@@ -103,60 +113,131 @@ class _Nfa:
         return start, end
 
     def _repeated(self) -> tuple[int, int]:
-        a, b = self._atom()
-        while (sign := self._peek()) and sign in "?*+":
-            self.at += 1
-            start, end = self.state(), self.state()
-            self.free[start].append(a)
-            self.free[b].append(end)
-            if sign in "?*":
-                self.free[start].append(end)
-            if sign in "*+":
+        begin = self.at
+        part = self._atom()
+        low, high = self._bounds()
+        if (low, high) == (1, 1):
+            return part
+        after = self.at
+        start = end = self.state()
+        copies = max(low, 1) if high is None else high
+        for k in range(copies):
+            if k:
+                self.at = begin
+                part = self._atom()
+            a, b = part
+            self.free[end].append(a)
+            out = self.state()
+            self.free[b].append(out)
+            if k >= low:
+                self.free[end].append(out)
+            if high is None and k == copies - 1:
                 self.free[b].append(a)
-            a, b = start, end
-        return a, b
+            end = out
+        self.at = after
+        return start, end
+
+    def _bounds(self) -> tuple[int, int | None]:
+        """How often the part before may come; None: any number of times."""
+        found = _COUNT.match(self.text, self.at)
+        if found:
+            low, comma, high = found.groups()
+            low, high = int(low or 0), (int(high) if high else None) if comma else int(low)
+        elif (sign := self._peek()) and sign in "?*+":
+            low, high = {"?": (0, 1), "*": (0, None), "+": (1, None)}[sign]
+        else:
+            return 1, 1
+        self.at = found.end() if found else self.at + 1
+        if self._peek() and (self._peek() in "?*+" or _COUNT.match(self.text, self.at)):
+            raise ValueError(f"lazy, possessive and double repeats are not supported: {self.text!r} at {self.at}")
+        if max(low, high or 0) > MOST_COPIES or high is not None and high < low or high == 0:
+            raise ValueError(f"cannot repeat {low} to {high} times in {self.text!r}")
+        return low, high
 
     def _atom(self) -> tuple[int, int]:
         sign = self._peek()
         if sign == "(":
             self.at += 1
+            if self._peek() == "?":
+                if self.text[self.at : self.at + 2] != "?:":
+                    raise ValueError(f"only plain and (?:...) groups are supported: {self.text!r} at {self.at}")
+                self.at += 2
             part = self._choice()
             if self._peek() != ")":
                 raise ValueError(f"unclosed group in {self.text!r}")
             self.at += 1
             return part
-        members = self._members() if sign == "[" else frozenset(self._literal())
+        if sign == "":
+            raise ValueError(f"{self.text!r} ends too early")
+        if sign in "^$":
+            raise ValueError(f"anchors are not supported: {self.text!r} at {self.at}")
+        if sign in "?*+":
+            raise ValueError(f"nothing to repeat in {self.text!r} at {self.at}")
+        if sign == "[":
+            members, wide = self._members()
+        elif sign == ".":
+            self.at += 1
+            members, wide = frozenset(range(128)), True
+        else:
+            members, wide = self._literal()
         a, b = self.state(), self.state()
-        self.moves[a].append((members, b))
+        if members := members - {10}:
+            self.moves[a].append((members, b))
+        if wide:  # any character beyond ASCII, as its UTF-8 bytes
+            more = frozenset(range(0x80, 0xC0))
+            for lead, rest in ((range(0xC2, 0xE0), 1), (range(0xE0, 0xF0), 2), (range(0xF0, 0xF5), 3)):
+                at = self.state()
+                self.moves[a].append((frozenset(lead), at))
+                for k in range(rest):
+                    to = b if k == rest - 1 else self.state()
+                    self.moves[at].append((more, to))
+                    at = to
         return a, b
 
-    def _literal(self) -> bytes:
+    def _literal(self) -> tuple[frozenset[int], bool]:
+        """ASCII members of a character or an escape, and whether all others are members too."""
         sign = self._peek()
         self.at += 1
         if sign == "\\":
             sign = self._peek()
             self.at += 1
-            if sign == "x":
+            if sign.lower() in _CLASSES and sign:
+                members = _CLASSES[sign.lower()]
+                return (members, False) if sign.islower() else (frozenset(range(128)) - members, True)
+            if sign == "x" and re.fullmatch("[0-9a-fA-F]{2}", self.text[self.at : self.at + 2]):
                 sign = chr(int(self.text[self.at : self.at + 2], 16))
                 self.at += 2
+            elif sign in _CONTROLS and sign:
+                sign = _CONTROLS[sign]
+            elif sign.isalnum() or not sign:
+                raise ValueError(f"escape \\{sign} is not supported in {self.text!r}")
         if ord(sign) > 127:
             raise ValueError("rules are over ASCII")
-        return sign.encode()
+        if sign == "\n":
+            raise ValueError("a newline parts texts, so no rule may match it")
+        return frozenset([ord(sign)]), False
 
-    def _members(self) -> frozenset[int]:
+    def _members(self) -> tuple[frozenset[int], bool]:
         self.at += 1
+        negated = self._peek() == "^"
+        self.at += negated
         found: set[int] = set()
-        while self._peek() != "]":
-            low = self._literal()[0]
-            if self._peek() == "-" and self.text[self.at + 1 : self.at + 2] != "]":
+        wide, first = False, True
+        while self._peek() != "]" or first:
+            if not self._peek():
+                raise ValueError(f"unclosed class in {self.text!r}")
+            first = False
+            low, all_others = self._literal()
+            found |= low
+            wide |= all_others
+            if self._peek() == "-" and self.text[self.at + 1 : self.at + 2] not in ("]", ""):
                 self.at += 1
-                found.update(range(low, self._literal()[0] + 1))
-            else:
-                found.add(low)
+                high, _ = self._literal()
+                if len(low) > 1 or len(high) > 1 or min(high) < min(low):
+                    raise ValueError(f"bad range in {self.text!r} at {self.at}")
+                found.update(range(min(low), min(high) + 1))
         self.at += 1
-        if 10 in found:
-            raise ValueError("a newline parts texts, so no rule may match it")
-        return frozenset(found)
+        return (frozenset(range(128)) - found, not wide) if negated else (frozenset(found), wide)
 
     def reach(self, states) -> frozenset[int]:
         seen, todo = set(states), list(states)

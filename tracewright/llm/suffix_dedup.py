@@ -33,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bloom, discard, forget, in_bloom, row_batches, ship, written
@@ -305,10 +305,21 @@ def _cut_out(docs: DataFrame, settings: DedupSettings) -> DataFrame:
     return docs.select("doc_id", "text", "low", "high").mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def _named(docs: DataFrame, name: Column | None = None) -> DataFrame:
+    """doc_id, text, name: a 64-bit hash of both; rows of one name that differ by a second such hash get another."""
+    name = F.xxhash64("doc_id", "text") if name is None else name
+    twice = docs.select("doc_id", "text", name.alias("name"), F.xxhash64(F.lit(1), "text", "doc_id").alias("check"))
+    clashes = twice.groupBy("name").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("name")
+    clashing = [r["name"] for r in clashes.collect()]  # n * n / 2**65 names of n rows, some three of 10**10
+    if not clashing:
+        return twice.drop("check")
+    return twice.withColumn("name", F.when(F.col("name").isin(clashing), F.xxhash64("name", "check")).otherwise(F.col("name"))).drop("check")
+
+
 def deduplicate(docs: DataFrame, settings: DedupSettings = DedupSettings()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     spark = ship(docs.sparkSession)
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("name"))
+    docs = _named(docs)
     packed = written(_anchor_table(docs.where(F.octet_length("text") >= settings.length), settings), "anchors")
     counted = packed.where("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2**table_bits rows at most
     counts = np.zeros(1 << settings.table_bits, dtype=np.int64)
