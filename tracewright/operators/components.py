@@ -14,6 +14,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,22 @@ def scratch_folder(spark) -> str:
     return "file://" + made
 
 
+def ship_package(spark) -> None:
+    """Make this package importable by the Python workers, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tracewright_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = Path(tempfile.mkdtemp(prefix="tracewright-"))
+    target = folder / "tracewright_workers.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, str(source.relative_to(package.parent)))
+    sc.addPyFile(str(target))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc._tracewright_shipped = True
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the scratch folder once and read it back without its lineage."""
     path = f"{scratch_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

@@ -541,7 +541,42 @@ def group_markings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformance.markings(net, variants.object_instances(found, events, check=False), case_of, "item")
 
 
-@_register("fitness")
+# every case of every type, aligned by a walk over positions and markings (lists of tokens by place); the bounds of cost are above what any case needs
+_FIT = f"""{_NET.replace(_V, f"{_RESOLVED}, {_variants_sql(roles='resolved')}")}, {_INSTANCES.replace("roles", "resolved")}, {_CASES}, case_of AS (
+  SELECT oid, case_id, 'item' AS otype FROM cases UNION ALL SELECT DISTINCT oid, oid, otype FROM rel WHERE otype <> 'item'
+), traces AS (SELECT otype, case_id, list(activity ORDER BY ts, eid) AS trace FROM rel JOIN case_of USING (oid, otype) GROUP BY ALL
+), spots AS (SELECT otype, list(idx ORDER BY idx) AS ps FROM kept GROUP BY otype
+), ends AS (
+  SELECT otype, case_id, a.place, 'initial' AS side FROM inst JOIN case_of USING (oid, otype) JOIN arcs a ON a.transition = initial_variant_id JOIN kept USING (otype) WHERE kept.idx = a.place AND is_initial
+  UNION ALL SELECT otype, case_id, a.place, 'final' FROM inst JOIN case_of USING (oid, otype) JOIN arcs a ON a.transition = final_variant_id JOIN kept USING (otype) WHERE kept.idx = a.place AND is_final
+), marked AS (
+  SELECT t.otype, trace, list_transform(ps, lambda p: len(list_filter(coalesce(b, []), lambda x: x = p))) AS s, list_transform(ps, lambda p: len(list_filter(coalesce(e, []), lambda x: x = p))) AS g
+  FROM traces t JOIN spots USING (otype) LEFT JOIN (SELECT otype, case_id, list(place) FILTER (side = 'initial') AS b, list(place) FILTER (side = 'final') AS e FROM ends GROUP BY ALL) USING (otype, case_id)
+), class AS MATERIALIZED (SELECT row_number() OVER () AS k, * FROM (SELECT otype, trace, s, g, count(*) AS n FROM marked GROUP BY ALL)
+), shape AS MATERIALIZED (
+  SELECT DISTINCT otype, label, list_transform(ps, lambda p: len(list_filter(i, lambda x: x = p))) AS need, list_transform(ps, lambda p: len(list_filter(o, lambda x: x = p))) AS made
+  FROM (SELECT otype, transition, CASE WHEN transition NOT LIKE 'silent#%' THEN split_part(transition, '#', 1) END AS label, coalesce(list(place) FILTER (direction = 'in'), []) AS i, coalesce(list(place) FILTER (direction = 'out'), []) AS o
+    FROM (SELECT DISTINCT transition, place, direction FROM arcs) JOIN kept ON idx = place GROUP BY ALL) JOIN spots USING (otype)
+), walk AS (
+  SELECT DISTINCT otype, s, s AS m, 0 AS c FROM class
+  UNION SELECT w.otype, s, list_transform(list_zip(m, need, made), lambda x: x[1] - x[2] + x[3]), c + CAST(label IS NOT NULL AS INTEGER)
+  FROM walk w JOIN shape h ON h.otype = w.otype AND list_min(list_transform(list_zip(m, need), lambda x: x[1] - x[2])) >= 0 WHERE c + CAST(label IS NOT NULL AS INTEGER) <= 10
+), worst AS (SELECT otype, s, m AS g, min(c) AS w FROM walk GROUP BY ALL
+), search AS (
+  SELECT k, 0 AS pos, s AS m, 0 AS c FROM class
+  UNION SELECT k, pos + step, CASE WHEN lone THEN m ELSE list_transform(list_zip(m, need, made), lambda x: x[1] - x[2] + x[3]) END, c + cost FROM (
+    SELECT z.k, pos, m, c, false AS lone, need, made, step, CASE WHEN step = 0 AND label IS NOT NULL THEN 1 ELSE 0 END AS cost
+    FROM search z JOIN class x ON x.k = z.k JOIN shape h ON h.otype = x.otype AND list_min(list_transform(list_zip(m, need), lambda y: y[1] - y[2])) >= 0, (VALUES (0), (1)) t(step)
+    WHERE (step = 0 OR (pos < len(trace) AND label = trace[pos + 1])) AND list_sum(m) <= list_sum(g) + 2 * (len(trace) - pos + 4 - c)
+    UNION ALL SELECT z.k, pos, m, c, true, NULL, NULL, 1, 1 FROM search z JOIN class x ON x.k = z.k WHERE pos < len(trace)) WHERE c + cost <= 3
+), least AS (SELECT k, min(c) AS c FROM search JOIN class x USING (k) WHERE pos = len(trace) AND m = g GROUP BY k
+), fits AS (
+  SELECT otype, n, CASE WHEN w IS NULL THEN 0.0 WHEN w + len(trace) = 0 THEN 1.0 ELSE 1 - CAST(c AS DOUBLE) / (w + len(trace)) END AS fitness
+  FROM class LEFT JOIN worst USING (otype, s, g) LEFT JOIN least USING (k)
+)"""
+
+
+@_register("fitness", f"WITH RECURSIVE {_FIT} SELECT otype, round(fitness, 6) AS fitness, CAST(sum(n) AS BIGINT) AS cases FROM fits GROUP BY ALL")
 def fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases of each fitness, for every object type of the order log.
 
