@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import FINAL, INITIAL, INNER, INPUT, OUTPUT, UNKNOWN
+from .scan import hot_keys, segmented
 
 Hints = Mapping[str, str]
 
@@ -27,12 +28,35 @@ def _hinted(hints: Hints, *, inner: bool) -> Column:
     return F.col("otype").isin(types) if types else F.lit(False)
 
 
-def object_use(relations: DataFrame, hints: Hints | None = None) -> DataFrame:
+def _neighbours(relations: DataFrame, piece: int | None) -> DataFrame:
+    """Relations with the activities before and after in their objects' lives.
+
+    With ``piece``, objects of more rows are walked in segments: what stands first and last
+    in a segment is handed to its neighbours.
+    """
+    life = Window.partitionBy("oid").orderBy("ts", "seq", "eid")
+    beside = lambda df: df.withColumn("previous", F.lag("activity").over(life)).withColumn("next", F.lead("activity").over(life))
+    hot = None if piece is None else hot_keys(relations, ["oid"], piece)
+    if hot is None:
+        return beside(relations)
+    keys, total = hot
+    dealt = segmented(relations.join(keys, "oid", "left_semi"), ["oid"], ["ts", "seq", "eid"], total, piece)
+    order = F.struct("ts", "seq", "eid")
+    edges = dealt.groupBy("oid", "_seg").agg(F.min_by("activity", order).alias("_first"), F.max_by("activity", order).alias("_last"))
+    along = Window.partitionBy("oid").orderBy("_seg")
+    edges = edges.select("oid", "_seg", F.lag("_last").over(along).alias("_before"), F.lead("_first").over(along).alias("_after"))
+    inside = Window.partitionBy("oid", "_seg").orderBy("ts", "seq", "eid")
+    nth, left = F.row_number().over(inside), F.row_number().over(Window.partitionBy("oid", "_seg").orderBy(F.desc("ts"), F.desc("seq"), F.desc("eid")))
+    rows = dealt.withColumn("_nth", nth).withColumn("_left", left).withColumn("previous", F.lag("activity").over(inside)).withColumn("next", F.lead("activity").over(inside)).join(edges, ["oid", "_seg"])
+    rows = rows.withColumn("previous", F.when(F.col("_nth") == 1, F.col("_before")).otherwise(F.col("previous"))).withColumn("next", F.when(F.col("_left") == 1, F.col("_after")).otherwise(F.col("next")))
+    return beside(relations.join(keys, "oid", "left_anti")).unionByName(rows.select(*relations.columns, "previous", "next"))
+
+
+def object_use(relations: DataFrame, hints: Hints | None = None, piece: int | None = None) -> DataFrame:
     """Relations with before, after, previous, next, event_class, and whether hinted; an object's repeats in an event only if hinted."""
     hints = hints or {}
     ends = relations.groupBy("oid").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    life = Window.partitionBy("oid").orderBy("ts", "seq", "eid")
-    rows = relations.join(ends, "oid").withColumn("previous", F.lag("activity").over(life)).withColumn("next", F.lead("activity").over(life))
+    rows = _neighbours(relations, piece).join(ends, "oid")
 
     event = Window.partitionBy("eid")
     whole = event.orderBy("seq", "oid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -84,10 +108,13 @@ def class_table(relations: DataFrame, hints: Hints | None = None) -> DataFrame:
     return wide.select("activity", *(F.coalesce(F.col(str(k)), F.lit(0)).alias(f"c{k}") for k in range(7)))
 
 
-def roles(relations: DataFrame, hints: Hints | None = None) -> DataFrame:
-    """(eid, activity, ts_sec, event_seq, event_class, role, otype, oid, adj_activity), one row an entry."""
+def roles(relations: DataFrame, hints: Hints | None = None, piece: int | None = None) -> DataFrame:
+    """(eid, activity, ts_sec, event_seq, event_class, role, otype, oid, adj_activity), one row an entry.
+
+    ``piece``: rows of an object that one task may sort; None: any number, which spares a count.
+    """
     hints = hints or {}
-    use = object_use(relations, hints)
+    use = object_use(relations, hints, piece)
     b, a, k, free = F.col("before"), F.col("after"), F.col("event_class"), ~F.col("hinted")
     inner = _hinted(hints, inner=True)
     none = F.lit(None).cast("string")
