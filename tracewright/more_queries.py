@@ -18,7 +18,8 @@ from .operators import asof, conformance, filters, preprocess, variants, waste
 from .operators import roles as role_ops
 from .operators.components import cut, scratch_folder
 from .plans import net as nets
-from .queries import _INSTANCES, _NET, _REL, _SIGNED, ORACLES, QUERIES, _register, _roles_sql, _variants_sql
+from .queries import _INSTANCES, _MASS, _NET, _REL, _SIGNED, ORACLES, QUERIES, _register, _roles_sql, _variants_sql
+from .sources.files import local_path
 from .sources.ocel import read_log, write_log
 from .sources.starschema import flag_log, nation_log, order_log, user_log, workshop_log
 
@@ -269,23 +270,29 @@ def labels_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("eid", "activity", "ts_sec", "event_class", "x.role", "x.otype", "x.oid", "x.adj_activity")
 
 
-_FILES = """WITH b AS (SELECT 'n' || n_nationkey AS nation, 'r' || r_regionkey AS region, n_name, r_name, CAST(n_nationkey AS BIGINT) AS seq FROM nation JOIN region ON n_regionkey = r_regionkey)
+_FILES = f"""WITH b AS (SELECT 'n' || n_nationkey AS nation, 'r' || r_regionkey AS region, n_name, r_name, CAST(n_nationkey AS BIGINT) AS seq FROM nation JOIN region ON n_regionkey = r_regionkey), {_REL}, {_MASS}
 SELECT 'event' AS kind, 'Fn' || seq AS a, 'Found' AS b, r_name AS c, seq * 3600 + 1 AS sec FROM b
 UNION ALL SELECT 'object', nation, 'nation', n_name, NULL FROM b UNION ALL SELECT 'object', 'r' || r_regionkey, 'region', r_name, NULL FROM region
 UNION ALL SELECT 'relation', 'Fn' || seq, region, 'region', seq * 3600 + 1 FROM b UNION ALL SELECT 'relation', 'Fn' || seq, nation, 'nation', seq * 3600 + 1 FROM b
-UNION ALL SELECT 'change', nation, 'name', lower(n_name), seq * 3600 + 1801 FROM b UNION ALL SELECT 'link', region, nation, 'holds', NULL FROM b"""
+UNION ALL SELECT 'change', nation, 'name', lower(n_name), seq * 3600 + 1801 FROM b UNION ALL SELECT 'link', region, nation, 'holds', NULL FROM b
+UNION ALL SELECT DISTINCT 'event', eid, activity, CASE activity WHEN 'Place' THEN '2' ELSE '3' END, CAST(epoch(ts) AS BIGINT) FROM rel
+UNION ALL SELECT 'object', oid, otype, CAST(mass AS VARCHAR), NULL FROM mass JOIN (SELECT DISTINCT oid, otype FROM rel) USING (oid)
+UNION ALL SELECT 'relation', eid, oid, otype, CAST(epoch(ts) AS BIGINT) FROM rel"""
 
 
 def _round_trip(suffix: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """The nation log, written to a file and read back; these formats are single files on a mounted folder."""
-        folder = scratch_folder(spark).removeprefix("file://").removeprefix("file:")
+        """The order and nation logs together, written to a file and read back; these formats are single files on a mounted folder."""
+        folder = local_path(scratch_folder(spark))
         os.makedirs(folder, exist_ok=True)
-        path = f"{folder}/nations-{uuid.uuid4().hex}.{suffix}"
-        write_log(nation_log(spark, sf_dir), path)
+        path = f"{folder}/logs-{uuid.uuid4().hex}.{suffix}"
+        first, second = order_log(spark, sf_dir), nation_log(spark, sf_dir)
+        both = {k: getattr(first, k).unionByName(getattr(second, k)) for k in ("events", "objects", "relations", "object_changes", "o2o")}
+        write_log(first.replaced(**both), path)
         log = read_log(spark, path)
         rows = lambda df, kind, a, b, c, ts: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), c.alias("c"), (F.unix_seconds(ts) if ts else F.lit(None).cast("long")).alias("sec"))
-        parts = [rows(log.events, "event", "eid", "activity", F.col("attrs")["by"], "ts"), rows(log.objects, "object", "oid", "otype", F.col("attrs")["name"], None), rows(log.relations, "relation", "eid", "oid", F.col("otype"), "ts"), rows(log.object_changes, "change", "oid", "field", F.col("value"), "ts"), rows(log.o2o, "link", "oid", "oid_2", F.col("qualifier"), None)]
+        value = lambda *names: F.coalesce(*(F.col("attrs")[n] for n in names))
+        parts = [rows(log.events, "event", "eid", "activity", value("by", "mass"), "ts"), rows(log.objects, "object", "oid", "otype", value("name", "mass"), None), rows(log.relations, "relation", "eid", "oid", F.col("otype"), "ts"), rows(log.object_changes, "change", "oid", "field", F.col("value"), "ts"), rows(log.o2o, "link", "oid", "oid_2", F.col("qualifier"), None)]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionAll(part)

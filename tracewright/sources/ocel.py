@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
 from collections.abc import Iterator
-from pathlib import Path
-from xml.sax.saxutils import escape, quoteattr
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringStartsWith
 
 from ..model import EventLog
+from ..operators.components import ship_package
+from .files import TablesFile, TextFile, local_path
 
 _TIMED = "array<struct<_VALUE:string,_name:string,_time:string>>"
 _OBJECT = f"_id string, _type string, attributes struct<attribute:{_TIMED}>, objects struct<relationship:array<struct<`_object-id`:string,_qualifier:string>>>"
@@ -72,42 +74,64 @@ def read_xml(spark: SparkSession, path: str) -> EventLog:
     return _log(spark, events, objects.select("oid", "otype", base.alias("attrs")), relations, changes, o2o)
 
 
-def _rows(df: DataFrame, *order: str) -> Iterator:
-    """Rows in order, one partition at a time on the driver: the file is one local stream."""
-    return df.orderBy(*order).toLocalIterator()
+def _stamp(ts: Column) -> Column:
+    """Seconds, and microseconds where there are any."""
+    part = F.unix_micros(ts) % 1_000_000
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(part == 0, "").otherwise(F.concat(F.lit("."), F.lpad(F.pmod(part, F.lit(1_000_000)).cast("string"), 6, "0"))))
 
 
-def _stamp(ts) -> str:
-    return ts.strftime("%Y-%m-%dT%H:%M:%S") + (f".{ts.microsecond:06d}" if ts.microsecond else "")
+def _text(value: Column) -> Column:
+    """Escaped for an element or a quoted attribute."""
+    out = F.coalesce(value, F.lit(""))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def _attributes(entries: Column, time: Column | None = None) -> Column:
+    """attribute elements of an array of (key, value) structs, or of (key, value, time)."""
+    at = lambda e: F.concat(F.lit('" time="'), e["time"] if time is None else time) if time is not None or timed else F.lit("")
+    timed = time is None
+    one = lambda e: F.concat(F.lit('<attribute name="'), _text(e["key"]), at(e), F.lit('">'), _text(e["value"]), F.lit("</attribute>"))
+    return F.array_join(F.transform(entries, one), "")
+
+
+def _sorted_entries(attrs: str) -> Column:
+    return F.array_sort(F.map_entries(F.coalesce(attrs, F.create_map().cast("map<string,string>"))))
+
+
+def _links(links: Column, oid: str) -> Column:
+    one = lambda x: F.concat(F.lit('<relationship object-id="'), _text(x[oid]), F.lit('" qualifier="'), _text(x["qualifier"]), F.lit('"/>'))
+    return F.array_join(F.transform(F.coalesce(links, F.array()), one), "")
 
 
 def write_xml(log: EventLog, path: str) -> None:
-    """One file with the four sections; a sink for logs that one machine can hold, as the format has no parts."""
-    names = lambda df, col: df.select(col, F.explode(F.map_keys("attrs")).alias("name")).distinct().groupBy(col).agg(F.array_sort(F.collect_list("name")).alias("names"))
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("<?xml version='1.0' encoding='UTF-8'?>\n<log>\n")
-        for section, tag, df, col in (("object-types", "object-type", log.objects, "otype"), ("event-types", "event-type", log.events, "activity")):
-            out.write(f"  <{section}>\n")
-            types = df.select(col).distinct().join(names(df, col), col, "left")
-            for row in _rows(types, col):
-                inner = "".join(f"<attribute name={quoteattr(n)} type=\"string\"/>" for n in row["names"] or [])
-                out.write(f"    <{tag} name={quoteattr(row[col])}><attributes>{inner}</attributes></{tag}>\n")
-            out.write(f"  </{section}>\n")
-        changed = log.object_changes.groupBy("oid").agg(F.array_sort(F.collect_list(F.struct("seq", "field", "ts", "value"))).alias("changes"))
-        linked = log.o2o.groupBy("oid").agg(F.array_sort(F.collect_list(F.struct("oid_2", "qualifier"))).alias("links"))
-        out.write("  <objects>\n")
-        for row in _rows(log.objects.join(changed, "oid", "left").join(linked, "oid", "left"), "oid"):
-            parts = [f"<attribute name={quoteattr(k)} time=\"1970-01-01T00:00:00Z\">{escape(v or '')}</attribute>" for k, v in sorted((row["attrs"] or {}).items())]
-            parts += [f"<attribute name={quoteattr(c['field'])} time=\"{_stamp(c['ts'])}Z\">{escape(c['value'] or '')}</attribute>" for c in row["changes"] or []]
-            links = "".join(f"<relationship object-id={quoteattr(x['oid_2'])} qualifier={quoteattr(x['qualifier'] or '')}/>" for x in row["links"] or [])
-            out.write(f"    <object id={quoteattr(row['oid'])} type={quoteattr(row['otype'])}><attributes>{''.join(parts)}</attributes>{f'<objects>{links}</objects>' if links else ''}</object>\n")
-        out.write("  </objects>\n  <events>\n")
-        related = log.relations.groupBy("eid").agg(F.array_sort(F.collect_list(F.struct("seq", "oid", "qualifier"))).alias("related"))
-        for row in _rows(log.events.join(related, "eid", "left"), "seq", "eid"):
-            parts = "".join(f"<attribute name={quoteattr(k)}>{escape(v or '')}</attribute>" for k, v in sorted((row["attrs"] or {}).items()))
-            links = "".join(f"<relationship object-id={quoteattr(x['oid'])} qualifier={quoteattr(x['qualifier'] or '')}/>" for x in row["related"] or [])
-            out.write(f"    <event id={quoteattr(row['eid'])} type={quoteattr(row['activity'])} time=\"{_stamp(row['ts'])}\"><attributes>{parts}</attributes><objects>{links}</objects></event>\n")
-        out.write("  </events>\n</log>\n")
+    """One file with the four sections, its lines made and ordered by Spark."""
+    spark = log.events.sparkSession
+    ship_package(spark)
+    spark.dataSource.register(TextFile)
+    line = lambda df, section, place, text, seq=F.lit(0), key=F.lit(""): df.select(F.lit(section).alias("section"), F.lit(place).alias("place"), seq.cast("long").alias("at"), key.alias("key"), text.alias("text"))
+    sections = ("object-types", "event-types", "objects", "events")
+    frame = [(k, place, f"  <{'/' if place else ''}{name}>") for k, name in enumerate(sections) for place in (0, 2)]
+    frame = [(-1, 0, "<?xml version='1.0' encoding='UTF-8'?>\n<log>"), *frame, (len(sections), 0, "</log>")]
+    parts = [spark.createDataFrame([(s, p, 0, "", t) for s, p, t in frame], "section int, place int, at long, key string, text string")]
+    for k, (tag, df, col) in enumerate((("object-type", log.objects, "otype"), ("event-type", log.events, "activity"))):
+        named = df.select(col, F.explode_outer(F.map_keys("attrs")).alias("name")).groupBy(col).agg(F.array_sort(F.collect_set("name")).alias("names"))
+        inner = F.array_join(F.transform("names", lambda n: F.concat(F.lit('<attribute name="'), _text(n), F.lit('" type="string"/>'))), "")
+        parts.append(line(named, k, 1, F.concat(F.lit(f'    <{tag} name="'), _text(F.col(col)), F.lit('"><attributes>'), inner, F.lit(f"</attributes></{tag}>")), key=F.col(col)))
+    changed = log.object_changes.groupBy("oid").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("field").alias("key"), F.concat(_stamp(F.col("ts")), F.lit("Z")).alias("time"), "value"))).alias("changes"))
+    linked = log.o2o.groupBy("oid").agg(F.array_sort(F.collect_list(F.struct("oid_2", "qualifier"))).alias("links"))
+    rows = log.objects.join(changed, "oid", "left").join(linked, "oid", "left")
+    values = F.concat(_attributes(_sorted_entries("attrs"), F.lit("1970-01-01T00:00:00Z")), F.coalesce(_attributes(F.col("changes")), F.lit("")))
+    links = F.when(F.col("links").isNull(), "").otherwise(F.concat(F.lit("<objects>"), _links(F.col("links"), "oid_2"), F.lit("</objects>")))
+    parts.append(line(rows, 2, 1, F.concat(F.lit('    <object id="'), _text(F.col("oid")), F.lit('" type="'), _text(F.col("otype")), F.lit('"><attributes>'), values, F.lit("</attributes>"), links, F.lit("</object>")), key=F.col("oid")))
+    related = log.relations.groupBy("eid").agg(F.array_sort(F.collect_list(F.struct("seq", "oid", "qualifier"))).alias("related"))
+    values = F.array_join(F.transform(_sorted_entries("attrs"), lambda e: F.concat(F.lit('<attribute name="'), _text(e["key"]), F.lit('">'), _text(e["value"]), F.lit("</attribute>"))), "")
+    event = F.concat(F.lit('    <event id="'), _text(F.col("eid")), F.lit('" type="'), _text(F.col("activity")), F.lit('" time="'), _stamp(F.col("ts")), F.lit('"><attributes>'), values, F.lit("</attributes><objects>"), _links(F.col("related"), "oid"), F.lit("</objects></event>"))
+    parts.append(line(log.events.join(related, "eid", "left"), 3, 1, event, F.coalesce("seq", F.lit(0)), F.col("eid")))
+    order = ("section", "place", "at", "key")
+    lines = reduce(DataFrame.unionAll, parts).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines.select("text").write.format("one_text_file").option("path", path).mode("overwrite").save()
 
 
 class _Range(InputPartition):
@@ -116,25 +140,67 @@ class _Range(InputPartition):
         self.low, self.high = low, high
 
 
+_SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
 class SqliteReader(DataSourceReader):
-    """Reads one table in ranges of rowids; every reader opens the file itself."""
+    """Reads some columns of one table in ranges of rowids; every reader opens the file itself."""
 
     def __init__(self, options: dict, step: int = 200_000) -> None:
         self.path, self.table, self.columns = options["path"], options["table"], options["columns"].split(",")
         self.step = step
+        self.where: list[str] = []
+        self.values: list = []
 
     def _open(self) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
 
+    def sql(self, columns: str, *more: str) -> str:
+        tests = [*more, *self.where]
+        return f'SELECT {columns} FROM "{self.table}"' + (f" WHERE {' AND '.join(tests)}" if tests else "")
+
     def partitions(self) -> list[InputPartition]:
         with self._open() as db:
-            low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
-        return [_Range(a, a + self.step) for a in range(low, high + 1, self.step)] if low is not None else [_Range(0, 0)]
+            low, high = db.execute(self.sql("min(rowid), max(rowid)"), self.values).fetchone()
+        return [_Range(a, min(a + self.step, high + 1)) for a in range(low, high + 1, self.step)] if low is not None else [_Range(0, 0)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        columns = ", ".join(f'CAST("{c}" AS TEXT)' for c in self.columns)
+        columns = ", ".join(["rowid", *(f'CAST("{c}" AS TEXT)' for c in self.columns)])
         with self._open() as db:
-            yield from db.execute(f'SELECT rowid, {columns} FROM "{self.table}" WHERE rowid >= ? AND rowid < ? ORDER BY rowid', (partition.low, partition.high))
+            yield from db.execute(self.sql(columns, "rowid >= ?", "rowid < ?") + " ORDER BY rowid", (partition.low, partition.high, *self.values))
+
+
+class FilteringReader(SqliteReader):
+    """Filters go into the SQL: values are compared as the text that is read, ``row`` as a number, which also narrows the ranges.
+
+    Spark refuses such a reader unless ``spark.sql.python.filterPushdown.enabled`` is set.
+    """
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Those that SQLite answers as Spark would are taken; the others are Spark's."""
+        for one in filters:
+            if not self._take(one):
+                yield one
+
+    def _take(self, one: Filter) -> bool:
+        inner, yes = (one.child, False) if isinstance(one, Not) else (one, True)
+        column = getattr(inner, "attribute", ("",))
+        if len(column) != 1 or column[0] not in ("row", *self.columns):
+            return False
+        name = "rowid" if column[0] == "row" else f'CAST("{column[0]}" AS TEXT)'
+        if isinstance(inner, (IsNull, IsNotNull)):
+            test, values = f"{name} IS {'NOT ' * isinstance(inner, IsNotNull)}NULL", []
+        elif type(inner) in _SIGNS:
+            test, values = f"{name} {_SIGNS[type(inner)]} ?", [inner.value]
+        elif isinstance(inner, In) and inner.value and None not in inner.value:
+            test, values = f"{name} IN ({', '.join('?' * len(inner.value))})", list(inner.value)
+        elif isinstance(inner, StringStartsWith):
+            test, values = f"substr({name}, 1, ?) = ?", [len(inner.value), inner.value]
+        else:
+            return False
+        self.where.append(test if yes else f"NOT ({test})")
+        self.values += values
+        return True
 
 
 class SqliteSource(DataSource):
@@ -146,18 +212,23 @@ class SqliteSource(DataSource):
         return "row long, " + ", ".join(f"`{c}` string" for c in self.options["columns"].split(","))
 
     def reader(self, schema) -> SqliteReader:
-        return SqliteReader(dict(self.options))
+        kind = FilteringReader if self.options.get("filters") == "true" else SqliteReader
+        return kind(dict(self.options))
 
 
 def read_sqlite(spark: SparkSession, path: str) -> EventLog:
     """The relational form: event, object, event_object, object_object, and a table for each type's attributes."""
+    ship_package(spark)
     spark.dataSource.register(SqliteSource)
+    path = local_path(path)
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
         columns = {t: [r[1] for r in db.execute(f'PRAGMA table_info("{t}")')] for (t,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
         maps = {kind: db.execute(f"SELECT ocel_type, ocel_type_map FROM {kind}_map_type").fetchall() for kind in ("event", "object")}
 
+    filters = str(spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).lower()
+
     def load(table: str) -> DataFrame:
-        return spark.read.format("ocel_sqlite_table").options(path=path, table=table, columns=",".join(columns[table])).load()
+        return spark.read.format("ocel_sqlite_table").options(path=path, table=table, columns=",".join(columns[table]), filters=filters).load()
 
     def typed(kind: str, fixed: tuple[str, ...]) -> DataFrame:
         parts = []
@@ -188,38 +259,36 @@ def _plain(name: str) -> str:
 
 
 def write_sqlite(log: EventLog, path: str) -> None:
-    """The relational form in one local file; rows stream through the driver."""
-    Path(path).unlink(missing_ok=True)
-    with sqlite3.connect(path) as db:
-        for kind, df, col, extra in (("event", log.events, "activity", ""), ("object", log.objects, "otype", ", ocel_changed_field TEXT")):
-            db.execute(f"CREATE TABLE {kind} (ocel_id TEXT, ocel_type TEXT)")
-            db.execute(f"CREATE TABLE {kind}_map_type (ocel_type TEXT, ocel_type_map TEXT)")
-            named = df.select(F.col(col).alias("t"), F.explode_outer(F.map_keys("attrs")).alias("name")).distinct()
-            if kind == "object":
-                named = named.unionAll(log.object_changes.select(F.col("otype").alias("t"), F.col("field").alias("name"))).distinct()
-            types = {r["t"]: r["names"] for r in named.groupBy("t").agg(F.array_sort(F.collect_list("name")).alias("names")).collect()}  # one row a type
-            for t, names in sorted(types.items()):
-                db.execute(f"INSERT INTO {kind}_map_type VALUES (?, ?)", (t, _plain(t)))
-                db.execute(f"CREATE TABLE {kind}_{_plain(t)} (ocel_id TEXT, ocel_time TEXT{extra}{''.join(f', \"{n}\" TEXT' for n in names)})")
-
-            def put(kind: str, t: str, row: list, attrs: dict, types=types) -> None:
-                values = [*row, *(attrs.get(n) for n in types[t])]
-                db.execute(f"INSERT INTO {kind}_{_plain(t)} VALUES ({', '.join('?' * len(values))})", values)
-
-            if kind == "event":
-                for r in _rows(df, "seq", "eid"):
-                    db.execute("INSERT INTO event VALUES (?, ?)", (r["eid"], r["activity"]))
-                    put(kind, r["activity"], [r["eid"], _stamp(r["ts"])], r["attrs"] or {})
-            else:
-                for r in _rows(df, "oid"):
-                    db.execute("INSERT INTO object VALUES (?, ?)", (r["oid"], r["otype"]))
-                    put(kind, r["otype"], [r["oid"], "1970-01-01T00:00:00", None], r["attrs"] or {})
-                for r in _rows(log.object_changes, "seq"):
-                    put(kind, r["otype"], [r["oid"], _stamp(r["ts"]), r["field"]], {r["field"]: r["value"]})
-        db.execute("CREATE TABLE event_object (ocel_event_id TEXT, ocel_object_id TEXT, ocel_qualifier TEXT)")
-        db.executemany("INSERT INTO event_object VALUES (?, ?, ?)", ((r["eid"], r["oid"], r["qualifier"]) for r in _rows(log.relations, "seq", "eid")))
-        db.execute("CREATE TABLE object_object (ocel_source_id TEXT, ocel_target_id TEXT, ocel_qualifier TEXT)")
-        db.executemany("INSERT INTO object_object VALUES (?, ?, ?)", ((r["oid"], r["oid_2"], r["qualifier"]) for r in _rows(log.o2o, "oid", "oid_2")))
+    """The relational form in one file, its rows put into tables and order by Spark."""
+    spark = log.events.sparkSession
+    ship_package(spark)
+    spark.dataSource.register(TablesFile)
+    start, none = F.lit("1970-01-01T00:00:00"), F.lit(None).cast("string")
+    tables: dict[str, list[str]] = {"event_object": ["ocel_event_id", "ocel_object_id", "ocel_qualifier"], "object_object": ["ocel_source_id", "ocel_target_id", "ocel_qualifier"]}
+    row = lambda df, table, values, seq=F.lit(0), key=F.lit(""): df.select(F.lit(table).alias("table"), F.coalesce(seq, F.lit(0)).cast("long").alias("at"), key.alias("key"), F.array(*values).alias("values"))
+    parts = [row(log.relations, "event_object", ["eid", "oid", "qualifier"], F.col("seq"), F.col("eid")), row(log.o2o, "object_object", ["oid", "oid_2", "qualifier"], key=F.concat_ws("\0", "oid", "oid_2"))]
+    for kind, df, col in (("event", log.events, "activity"), ("object", log.objects, "otype")):
+        named = df.select(F.col(col).alias("t"), F.explode_outer(F.map_keys("attrs")).alias("name"))
+        if kind == "object":
+            named = named.unionAll(log.object_changes.select(F.col("otype").alias("t"), F.col("field").alias("name")))
+        types = {r["t"]: r["names"] for r in named.groupBy("t").agg(F.array_sort(F.collect_set("name")).alias("names")).collect()}  # one row a type
+        tables |= {kind: ["ocel_id", "ocel_type"], f"{kind}_map_type": ["ocel_type", "ocel_type_map"]}
+        name, seq = ("eid", F.col("seq")) if kind == "event" else ("oid", F.lit(0))
+        parts.append(row(df, kind, [name, col], seq, F.col(name)))
+        if types:
+            parts.append(row(spark.createDataFrame([(t, _plain(t)) for t in sorted(types)], "t string, p string"), f"{kind}_map_type", ["t", "p"], key=F.col("t")))
+        for t, names in types.items():
+            table = f"{kind}_{_plain(t)}"
+            changed = [none] if kind == "object" else []
+            tables[table] = ["ocel_id", "ocel_time", *(["ocel_changed_field"] if changed else []), *names]
+            stamp = _stamp(F.col("ts")) if kind == "event" else start
+            parts.append(row(df.where(F.col(col) == t), table, [F.col(name), stamp, *changed, *(F.col("attrs")[n] for n in names)], seq, F.col(name)))
+            if changed:
+                own = log.object_changes.where(F.col("otype") == t)
+                parts.append(row(own, table, [F.col("oid"), _stamp(F.col("ts")), F.col("field"), *(F.when(F.col("field") == n, F.col("value")) for n in names)], F.coalesce("seq", F.lit(0)) + 1, F.col("oid")))
+    order = ("table", "at", "key")
+    rows = reduce(DataFrame.unionAll, parts).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.select("table", "values").write.format("one_sqlite_file").option("path", path).option("tables", json.dumps(tables)).mode("overwrite").save()
 
 
 def write_labels_json(labels: DataFrame, path: str) -> None:
