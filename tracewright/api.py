@@ -68,7 +68,7 @@ def discover(log: EventLog, parameters: MinerParameters = MinerParameters(), wei
     if p.keep_general:
         kinds = filters.keep_general(kinds)
     kinds = cut(kinds, "variants")
-    near = variants.associations(found, events, weighted).join(kinds.select("variant_id"), "variant_id", "left_semi")
+    near = variants.associations(found, events).join(kinds.select("variant_id"), "variant_id", "left_semi")
     near = cut(filters.filter_associations(near, filters.above(p.filter_arcs)), "associations")
     net = nets.build(kinds, near)
     nets.check(net)

@@ -40,10 +40,10 @@ def rgb_to_hex(r: Column, g: Column, b: Column) -> Column:
 
 
 def contrast(r: float, g: float, b: float) -> str:
-    """Black or white, whichever contrasts more with the colour by relative luminance."""
-    linear = [c / 12.92 if c <= 0.03928 else ((c + 0.055) / 1.055) ** 2.4 for c in (r / 255, g / 255, b / 255)]
+    """Black or white, whichever contrasts more with the colour; channels are raised to 2.4 as they are, without an offset."""
+    linear = [c**2.4 if c > 0.03928 else c / 12.92 for c in (r / 255, g / 255, b / 255)]
     luminance = 0.2126 * linear[0] + 0.7152 * linear[1] + 0.0722 * linear[2]
-    return "#000000" if (luminance + 0.05) / 0.05 >= 1.05 / (luminance + 0.05) else "#ffffff"
+    return "#000000" if (luminance + 0.05) / 0.05 > 1.05 / (luminance + 0.05) else "#ffffff"
 
 
 def shown(number: Decimal) -> str:

@@ -71,6 +71,13 @@ def prep_output_from_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _effects(preprocess.output_from_inputs(workshop_log(spark, sf_dir), "Assemble", "0.1"))
 
 
+@_register("prep_outputs_chained", _effects_sql(_COIL, "SELECT 'object' AS kind, 'sheet:' || k || '-' || n AS name, 'SteelSheet' AS otype, 2 * whole.q AS v FROM ln JOIN whole USING (k)", _PART.format(v="2 * q * (SELECT count(*) FROM ln WHERE ln.k = whole.k) + 0.1"), _SHEET_CHANGE, _PART_CHANGE))
+def prep_outputs_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets weigh what their coil does, and then parts what their sheets now do."""
+    sheets = preprocess.output_from_inputs(workshop_log(spark, sf_dir), "Split")
+    return _effects(preprocess.output_from_inputs(sheets, "Assemble", "0.1"))
+
+
 _SPLIT_WASTE = "SELECT 'object' AS kind, 'SplitWaste:' || k || '-' || n AS name, 'SplitWaste' AS otype, q * 0.02 AS v FROM ln"
 _COIL_CHANGE = "SELECT 'change' AS kind, 'coil:' || k AS name, 'SteelCoil' AS otype, 2 * sum(q) OVER (PARTITION BY k) - 1.02 * sum(q) OVER (PARTITION BY k ORDER BY n) AS v FROM ln"
 
@@ -311,6 +318,13 @@ def base_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.base_value(log.relations.select("eid", "oid"), log.objects, "value").select("eid", F.col("value").cast("double").alias("value"))
 
 
+@_register("base_masses", f"WITH {_REL}, {_MASS} SELECT eid, oid, CAST(mass AS DOUBLE) AS value FROM rel JOIN mass USING (oid)")
+def base_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object's own base mass at each of its events."""
+    log = order_log(spark, sf_dir)
+    return asof.base_value(log.relations.select("eid", "oid"), log.objects, "mass").select("eid", "oid", F.col("value").cast("double").alias("value"))
+
+
 @_register("scalars", """SELECT event_id, epoch_us(make_timestamp(CAST(event_id * 1000000 AS BIGINT))) AS us, printf('#%02x%02x%02x', event_id % 256, event_id * 7 % 256, event_id * 31 % 256) AS colour,
   CAST(event_id % 256 AS INTEGER) AS r, CAST(event_id * 7 % 256 AS INTEGER) AS g, CAST(event_id * 31 % 256 AS INTEGER) AS b FROM events""")
 def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:

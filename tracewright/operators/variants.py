@@ -28,7 +28,7 @@ def variants(events: DataFrame) -> DataFrame:
     return found.select("variant_id", "activity", "signature", "n_events", F.col("_first.event_seq").alias("first_seq"), F.col("_first.eid").alias("first_eid"))
 
 
-def associations(roles: DataFrame, events: DataFrame, weighted: bool = False) -> DataFrame:
+def associations(roles: DataFrame, events: DataFrame) -> DataFrame:
     """(variant_id, activity, role, otype, multiplicity, adj_activity, n): neighbours with their counts."""
     rows = roles.select("eid", "role", "otype", "adj_activity").join(events.select("eid", "variant_id", "activity", "signature"), "eid")
     one = F.filter("signature", lambda s: (s["role"] == F.col("role")) & (s["otype"] == F.col("otype")))

@@ -16,6 +16,7 @@ from .operators import asof, conformance, filters, massbalance, variants, waste
 from .operators import roles as role_ops
 from .operators.components import cut
 from .plans import net as nets
+from .plans import render
 from .sources.starschema import order_log, user_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -576,9 +577,8 @@ _FIT = f"""{_NET.replace(_V, f"{_RESOLVED}, {_variants_sql(roles='resolved')}")}
 )"""
 
 
-@_register("fitness", f"WITH RECURSIVE {_FIT} SELECT otype, round(fitness, 6) AS fitness, CAST(sum(n) AS BIGINT) AS cases FROM fits GROUP BY ALL")
-def fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases of each fitness, for every object type of the order log.
+def _fitness_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitness of every case of every type of the order log.
 
     Orders' dates are days, so a customer may have several last placements, each a final
     output; the last of them by event id is the one that marks the case.
@@ -589,10 +589,39 @@ def fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = cut(variants.variant_events(roles), "variant-events")
     found, near = cut(variants.variants(events), "variants"), cut(variants.associations(roles, events), "associations")
     instances = cut(variants.object_instances(roles, events, check=False), "instances")
-    each = conformance.fitness_of_types(log, nets.build(found, near), instances)
+    return conformance.fitness_of_types(log, nets.build(found, near), instances)
+
+
+@_register("fitness", f"WITH RECURSIVE {_FIT} SELECT otype, round(fitness, 6) AS fitness, CAST(sum(n) AS BIGINT) AS cases FROM fits GROUP BY ALL")
+def fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of each fitness, for every object type of the order log."""
+    each = _fitness_of_types(spark, sf_dir)
     return each.groupBy("otype", F.round("fitness", 6).alias("fitness")).agg(F.count("*").alias("cases"))
 
 
+@_register("fitness_mean", f"WITH RECURSIVE {_FIT} SELECT round(avg(f), 6) AS fitness FROM (SELECT sum(n * fitness) / sum(n) AS f FROM fits GROUP BY otype)")
+def fitness_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of the types' mean fitness, over three types."""
+    return conformance.mean_fitness(_fitness_of_types(spark, sf_dir)).select(F.round("fitness", 6).alias("fitness"))
+
+
+_INK = " + ".join(f"{w} * CASE WHEN {v} > 0.03928 THEN pow({v}, 2.4) ELSE {v} / 12.92 END" for w, v in ((0.2126, "r / 255"), (0.7152, "g / 255"), (0.0722, "b / 255")))
+
+
+@_register("net_drawing", f"""WITH RECURSIVE {_NET}, types AS (SELECT otype, row_number() OVER (ORDER BY min(idx)) AS k FROM places GROUP BY otype
+), dealt AS (SELECT otype, CASE k WHEN 1 THEN '#ffa500' WHEN 2 THEN '#7b68ee' WHEN 3 THEN '#eec900' END AS colour FROM types
+), looks AS (SELECT otype, colour, CASE WHEN ({_INK} + 0.05) / 0.05 > 1.05 / ({_INK} + 0.05) THEN '#000000' ELSE '#ffffff' END AS ink
+  FROM (SELECT *, CAST('0x' || colour[2:3] AS INTEGER) AS r, CAST('0x' || colour[4:5] AS INTEGER) AS g, CAST('0x' || colour[6:7] AS INTEGER) AS b FROM dealt))
+SELECT 'place' AS kind, CAST(idx AS INTEGER) AS place, NULL AS transition, NULL AS direction, otype AS label, CASE WHEN is_final THEN 'doubleoctagon' WHEN is_initial THEN 'octagon' ELSE 'circle' END AS shape, colour, ink, NULL AS style, CAST(NULL AS DOUBLE) AS width,
+  replace(ins, ',', ', ') || ' → ' || replace(outs, ',', ', ') AS help FROM kept JOIN looks USING (otype)
+UNION ALL SELECT 'transition', NULL, variant_id, NULL, activity, 'box', NULL, NULL, NULL, NULL, n_events || ' events' FROM vs
+UNION ALL SELECT DISTINCT 'transition', NULL, transition, NULL, 'τ', 'box', '#000000', '#ffffff', NULL, NULL, NULL FROM arcs WHERE transition LIKE 'silent#%'
+UNION ALL SELECT 'arc', place, transition, direction, NULL, NULL, colour, NULL, CASE WHEN is_unknown THEN 'dashed' END, CASE WHEN multiplicity > 1 THEN 4.0 END, NULL FROM arcs JOIN kept ON idx = place JOIN looks USING (otype)""")
+def net_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and arcs of the net with shape, colour, ink and style."""
+    return render.drawing(_net(spark, sf_dir))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: all arcs of the net discovered from the order log."""
     return net_arcs(spark, sf_dir)
