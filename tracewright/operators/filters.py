@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import INPUT, OUTPUT, EventLog
-from .absorb import absorb
+from .components import ship_package
 
 Keep = Callable[[Column, Column], Column]
 
@@ -57,6 +59,33 @@ def filter_associations(assoc: DataFrame, keep: Keep) -> DataFrame:
     return rows.where(checked).drop("_total", "_keep", "_any")
 
 
+def _covering(group: pd.DataFrame) -> pd.DataFrame:
+    """(activity, idx, rep): what absorbs each of an activity's variants with the same types.
+
+    The same outcome as :func:`absorb` has, without a list of pairs: a variant is compared only
+    with those of no lower sum, as no other can cover it.
+    """
+    group = group.sort_values("idx", kind="stable")
+    many, idx = np.array(group["_many"].tolist(), dtype=np.int64).reshape(len(group), -1), group["idx"].to_numpy()
+    size = many.sum(axis=1)
+    order = np.argsort(size, kind="stable")
+    first = np.searchsorted(size[order], size)  # where sums as large begin
+
+    def above(k: int) -> np.ndarray:
+        other = order[first[k] :]
+        other = other[(many[other] >= many[k]).all(axis=1)]
+        return other[(size[other] > size[k]) | (idx[other] > idx[k])]
+
+    alive = np.array([not len(above(k)) for k in range(len(idx))])
+    parent = np.arange(len(idx))
+    for k in np.flatnonzero(~alive):
+        over = above(k)
+        parent[k] = over[(idx[over] > idx[k]) | alive[over]].min()  # rows are in order of idx
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return pd.DataFrame({"activity": group["activity"].to_numpy(), "idx": idx, "rep": idx[parent]})
+
+
 def keep_general(variants: DataFrame) -> DataFrame:
     """Variants of an activity that no other one covers; what is absorbed adds its count.
 
@@ -67,10 +96,7 @@ def keep_general(variants: DataFrame) -> DataFrame:
     rows = variants.withColumn("_types", F.transform(known, lambda s: F.concat_ws(":", s["role"], s["otype"]))).withColumn("_many", F.transform(known, lambda s: s["multiplicity"]))
     place = F.row_number().over(Window.partitionBy("activity").orderBy("first_seq", "first_eid", "variant_id"))
     rows = rows.withColumn("idx", place)
-    left, right = (rows.select("activity", F.col("_types").alias("_types"), F.col("_many").alias(f"m{s}"), F.col("idx").alias(s)) for s in ("p", "q"))
-    fits = F.forall(F.arrays_zip("mp", "mq"), lambda z: z["mp"] <= z["mq"])
-    back = F.forall(F.arrays_zip("mp", "mq"), lambda z: z["mp"] >= z["mq"])
-    below = left.join(right, ["activity", "_types"]).where((F.col("p") != F.col("q")) & fits).select("activity", "p", "q", back.alias("equal"))
-    target = absorb(rows.select("activity", "idx"), below, ["activity"])
+    ship_package(variants.sparkSession)
+    target = rows.groupBy("activity", "_types").applyInPandas(_covering, "activity string, idx int, rep int")
     onto = rows.join(target, ["activity", "idx"]).groupBy("activity", F.col("rep").alias("idx")).agg(F.sum("n_events").alias("_sum"))
     return rows.join(onto, ["activity", "idx"]).withColumn("n_events", F.col("_sum")).drop("_types", "_many", "idx", "_sum")
