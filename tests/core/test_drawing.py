@@ -1,14 +1,22 @@
 """Drawings, colours, and places that contain each other."""
 
 import random
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from tracewright.functions.scalar import contrast
+from tracewright.functions.scalar import contrast, shown, shown_text
 from tracewright.plans import net as nets
 from tracewright.plans import render
 
 
+def test_numbers_are_shown_without_empty_digits(spark):
+    rng = random.Random(3)
+    numbers = [Decimal(rng.randrange(-10**6, 10**6)).scaleb(-rng.randrange(9)) for _ in range(60)] + [Decimal("0"), Decimal("100"), Decimal("0.50"), Decimal("1E-9")]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n decimal(38,18)").select("n", shown_text(F.col("n")).alias("t"), shown_text(F.floor("n").cast("long")).alias("i")).collect()
+    assert all(r["t"] == shown(r["n"]) for r in rows) and {r["t"] for r in rows} >= {"0", "100", "0.5"} and all("." not in r["i"] for r in rows)
+
+
 def test_colours_are_dealt_by_first_appearance():
     got = render.colours(["zebra", "Truck", "ape", "zebra", *(f"t{i}" for i in range(12))])
     assert got["zebra"] == render.PALETTE[0] and got["ape"] == render.PALETTE[1] and got["Truck"] == "#ff0000"

@@ -14,8 +14,8 @@ from tracewright import more_queries as core
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = ["class_histogram", "class_table_users", "roles_hinted", "roles_inner", "variants_weighted", "variant_assoc", "object_instances", "variants_alpha", "assoc_beta", "mfa_verdict", "implicit_mass", "type_mass", "asof_before", "asof_next", "prev_same_activity", "running_balance", "net_self_loops", "related_objects"]
-MORE = ["prep_output_less_waste", "prep_split_waste_objects", "prep_split_waste_links", "prep_renamed", "implicit_mass_as_of", "flag_net_silent", "flag_fitness", "conformance_report", "labels_content", "file_xml", "file_sqlite"]
-ROWS_ONLY = ["keep_general", "net_arcs", "net_stats", "case_ids", "group_markings", "fitness"]
+MORE = ["prep_output_less_waste", "prep_split_waste_objects", "prep_split_waste_links", "prep_renamed", "implicit_mass_as_of", "flag_net_silent", "flag_fitness", "conformance_report", "labels_content", "file_xml", "file_sqlite", "net_drawing", "annotated_net", "roles_first_row", "prep_outputs_chained", "base_masses", "fitness"]
+ROWS_ONLY = ["keep_general", "net_arcs", "net_stats", "case_ids", "group_markings"]
 
 
 def plain(rows, columns):

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions.scalar import shown
+from .functions.scalar import shown_text
 from .model import FINAL, INITIAL, INNER, EventLog
 from .operators import filters, massbalance, variants, waste
 from .operators.components import cut
@@ -75,12 +76,43 @@ def discover(log: EventLog, parameters: MinerParameters = MinerParameters(), wei
     return Discovery(found, events, kinds, near, net, balance)
 
 
-def _at_places(net: nets.FlowNet, otype: str, measure: DataFrame) -> list[tuple[int, Row]]:
+def _at_places(net: nets.FlowNet, otype: str, measure: DataFrame) -> DataFrame:
     """Each variant's measure with the place of the type's initial inputs or final outputs there."""
     ends = net.places.where(F.col("otype") == otype).select("place", F.when(F.col("is_initial"), INITIAL).when(F.col("is_final"), FINAL).alias("role"))
     at = net.arcs.join(ends, "place").select(F.col("transition").alias("variant_id"), "role", "place")
-    rows = measure.join(at, ["variant_id", "role"]).orderBy("place", "variant_id").collect()  # as many as the model has arcs
-    return [(r["place"], r) for r in rows]
+    return measure.join(at, ["variant_id", "role"])
+
+
+def annotations(log: EventLog, found: Discovery, parameters: MinerParameters) -> DataFrame:
+    """(place, transition, variant_id, rank, line): what is printed at places and transitions, in order of ``rank``.
+
+    A line belongs to a place or a transition. A later measure of a kind replaces an earlier
+    one of the same variant: counts, masses, explicit or implicit waste.
+    """
+    p, masses, parts = parameters, log.masses(), []
+    live = found.events.join(found.variants.select("variant_id"), "variant_id", "left_semi")
+    number = shown_text
+
+    def add(measure: DataFrame, kind: str, line: Column, at_place: bool) -> None:
+        place = F.col("place") if at_place else F.lit(None).cast("int")
+        transition = F.lit(None).cast("string") if at_place else F.col("variant_id")
+        parts.append(measure.select(place.alias("place"), transition.alias("transition"), "variant_id", F.lit(kind).alias("kind"), F.lit(len(parts)).alias("rank"), line.alias("line")))
+
+    pair = lambda what, average: F.concat(F.lit(f"{what}: avg "), number(F.col(average)), F.lit(" / total "), number(F.col("total")))
+    for otype in p.annotate_objects_count:
+        add(_at_places(found.net, otype, waste.type_count(found.roles, live, otype)), "count", F.concat(F.lit(f"{otype}: "), F.col("total").cast("string")), True)
+    for otype in p.annotate_objects_mass:
+        add(_at_places(found.net, otype, waste.type_mass(found.roles, masses, live, otype)), "mass", pair(f"{otype} mass", "rounded"), True)
+    for activity in p.annotate_explicit:
+        add(waste.explicit_waste(live, log.events, activity, "mass"), "explicit", pair("Explicit mass", "average"), False)
+    for activity in p.annotate_implicit_count:
+        add(waste.implicit_count(found.roles, live, activity), "implicit", F.concat(F.lit("Implicit count: "), F.col("total").cast("string")), False)
+    for activity in p.annotate_implicit_mass:
+        add(waste.implicit_mass(found.roles, masses, live, activity), "implicit", pair("Implicit mass", "average"), False)
+    if not parts:
+        return log.events.sparkSession.createDataFrame([], "place int, transition string, variant_id string, rank int, line string")
+    last = F.max(F.struct("rank", "line")).alias("_last")
+    return reduce(DataFrame.unionAll, parts).groupBy("place", "transition", "variant_id", "kind").agg(last).select("place", "transition", "variant_id", "_last.rank", "_last.line")
 
 
 class ObjectFlowMiner:
@@ -104,23 +136,7 @@ class ObjectFlowMiner:
 
     def _annotated(self, log: EventLog, p: MinerParameters, weighted: bool) -> ObjectFlowNet:
         found = discover(log, p, weighted)
-        masses, notes = log.masses(), defaultdict(dict)
-        live = found.events.join(found.variants.select("variant_id"), "variant_id", "left_semi")
-        # A later measure of the same key replaces an earlier one.
-        for otype in p.annotate_objects_count:
-            for place, r in _at_places(found.net, otype, waste.type_count(found.roles, live, otype)):
-                notes[place][r["variant_id"], "count"] = f"{otype}: {r['total']}"
-        for otype in p.annotate_objects_mass:
-            for place, r in _at_places(found.net, otype, waste.type_mass(found.roles, masses, live, otype)):
-                notes[place][r["variant_id"], "mass"] = f"{otype} mass: avg {shown(r['rounded'])} / total {shown(r['total'])}"
-        for activity in p.annotate_explicit:
-            for r in waste.explicit_waste(live, log.events, activity, "mass").collect():  # one row a variant, here and below
-                notes[r["variant_id"]]["explicit"] = f"Explicit mass: avg {shown(r['average'])} / total {shown(r['total'])}"
-        for activity in p.annotate_implicit_count:
-            for r in waste.implicit_count(found.roles, live, activity).collect():
-                notes[r["variant_id"]]["implicit"] = f"Implicit count: {r['total']}"
-        for activity in p.annotate_implicit_mass:
-            for r in waste.implicit_mass(found.roles, masses, live, activity).collect():
-                notes[r["variant_id"]]["implicit"] = f"Implicit mass: avg {shown(r['average'])} / total {shown(r['total'])}"
-        lines = {key: list(values.values()) for key, values in notes.items()}
+        lines = defaultdict(list)
+        for r in annotations(log, found, p).orderBy("rank", "place", "variant_id").collect():  # as many as the model has arcs, for each measure
+            lines[r["place"] if r["transition"] is None else r["transition"]].append(r["line"])
         return ObjectFlowNet(dot(found.net, weighted, p.direction, lines, p.show_helper_text))

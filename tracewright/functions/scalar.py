@@ -46,6 +46,12 @@ def contrast(r: float, g: float, b: float) -> str:
     return "#000000" if (luminance + 0.05) / 0.05 > 1.05 / (luminance + 0.05) else "#ffffff"
 
 
+def shown_text(number: Column) -> Column:
+    """:func:`shown` of a decimal or integral column."""
+    text = number.cast("string")
+    return F.when(number == 0, "0").when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+
 def shown(number: Decimal) -> str:
     """A number for a label: integral ones without a point, others without trailing zeros."""
     number = Decimal(number)

@@ -9,9 +9,10 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .api import MinerParameters, annotations, discover
 from .functions.scalar import hex_to_rgb, rgb_to_hex, seconds_to_timestamp
 from .model import FINAL, ROLES, EventLog
 from .operators import asof, conformance, filters, preprocess, variants, waste
@@ -318,6 +319,43 @@ def base_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.base_value(log.relations.select("eid", "oid"), log.objects, "value").select("eid", F.col("value").cast("double").alias("value"))
 
 
+_ANNOTATED = MinerParameters(annotate_objects_count=["item"], annotate_explicit=["Place"], annotate_implicit_count=["Ship"])
+
+
+@_register("annotated_net", f"""WITH RECURSIVE {_NET}, counts AS (SELECT variant_id, role, count(*) AS total FROM vev JOIN roles USING (eid) WHERE otype = 'item' AND role IN ('initial', 'final') GROUP BY ALL)
+SELECT a.place, CAST(NULL AS VARCHAR) AS transition, variant_id, 'item: ' || total AS line FROM counts JOIN arcs a ON a.transition = variant_id JOIN kept ON idx = a.place AND otype = 'item' AND (role = 'initial' AND is_initial OR role = 'final' AND is_final)
+UNION ALL SELECT NULL, variant_id, variant_id, 'Explicit mass: avg 2 / total ' || 2 * count(*) FROM vev WHERE activity = 'Place' GROUP BY variant_id
+UNION ALL SELECT NULL, variant_id, variant_id, 'Implicit count: ' || CAST(sum({_SIGNED}) AS BIGINT) FROM vev JOIN roles USING (eid) WHERE vev.activity = 'Ship' GROUP BY variant_id""")
+def annotated_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that the miner prints at places and transitions."""
+    log = order_log(spark, sf_dir)
+    log = log.replaced(relations=cut(log.relations, "relations"))
+    return annotations(log, discover(log, _ANNOTATED), _ANNOTATED).select("place", "transition", "variant_id", "line")
+
+
+_MIXED_REL = """rel AS (SELECT 'L' || l_orderkey AS eid, 'Ship ' || l_returnflag AS activity, CAST(l_shipdate AS TIMESTAMP) AS ts, 'p' || l_partkey AS oid, 'part' AS otype,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS seq FROM lineitem), head AS (SELECT eid, activity AS ha, ts AS hts FROM rel WHERE seq = 1)"""
+
+
+def _first_rows(sql: str) -> str:
+    """Roles of a log whose events' rows disagree: lives follow the rows, events their first one."""
+    a, b = sql.index("used0 AS ("), sql.index("), cls AS (")
+    used = """used0 AS (
+  SELECT eid, ha AS activity, hts AS ts, oid, otype, min(ts) OVER (PARTITION BY oid) < hts AS b, hts < max(ts) OVER (PARTITION BY oid) AS a, row_number() OVER (PARTITION BY eid, oid ORDER BY seq) AS nth,
+    lag(activity) OVER (PARTITION BY oid ORDER BY ts, seq, eid) AS prev, lead(activity) OVER (PARTITION BY oid ORDER BY ts, seq, eid) AS nxt FROM rel JOIN head USING (eid)
+"""
+    return (sql[:a] + used + sql[b:]).replace("FROM used0 JOIN cls USING (eid)", "FROM used0 JOIN cls USING (eid) WHERE nth = 1")
+
+
+@_register("roles_first_row", f"WITH {_first_rows(_roles_sql(_MIXED_REL))} SELECT eid, activity, CAST(epoch(ts) AS BIGINT) AS ts_sec, role, oid, adj AS adj_activity FROM roles")
+def roles_first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles where the rows of an event name different activities and times: the first row counts."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("seq", F.row_number().over(order).cast("long"))
+    relations = lines.select(F.concat(F.lit("L"), "l_orderkey").alias("eid"), F.concat(F.lit("Ship "), "l_returnflag").alias("activity"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.concat(F.lit("p"), "l_partkey").alias("oid"), F.lit("part").alias("otype"), F.lit("a").alias("qualifier"), "seq")
+    return role_ops.roles(relations).select("eid", "activity", "ts_sec", "role", "oid", "adj_activity")
+
+
 @_register("base_masses", f"WITH {_REL}, {_MASS} SELECT eid, oid, CAST(mass AS DOUBLE) AS value FROM rel JOIN mass USING (oid)")
 def base_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every object's own base mass at each of its events."""
