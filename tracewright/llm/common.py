@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import shutil
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import discard, scratch_folder  # noqa: F401
+from ..operators.components import discard, scratch_folder, ship_package  # noqa: F401
 
-_SHIPPED = "_tracewright_llm_shipped"
 _BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
@@ -28,20 +22,9 @@ def ship(spark: SparkSession) -> SparkSession:
     Rows hold whole texts and sets, so batches to and from Python workers are bounded by
     bytes, unless the session has a bound of its own.
     """
-    sc = spark.sparkContext
     if spark.conf.get(_BATCH) == _SPARKS_OWN:
         spark.conf.set(_BATCH, "4m")
-    if getattr(sc, _SHIPPED, False):
-        return spark
-    package = Path(__file__).resolve().parent.parent
-    folder = Path(tempfile.mkdtemp(prefix="tracewright-"))
-    target = folder / "tracewright_workers.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for source in sorted(package.rglob("*.py")):
-            archive.write(source, str(source.relative_to(package.parent)))
-    sc.addPyFile(str(target))
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    setattr(sc, _SHIPPED, True)
+    ship_package(spark)
     return spark
 
 
