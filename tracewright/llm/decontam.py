@@ -268,7 +268,7 @@ def _holds(shared, settings: DecontamSettings):
     def holds(series_in: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in series_in:
             flags = [np.zeros(0, dtype=bool)]
-            for frame in row_batches([series.to_frame("text")], 4_000_000):
+            for frame in row_batches([series.to_frame("text")]):
                 flags.append(np.zeros(len(frame), dtype=bool))
                 for r, *_ in _matches(shared.value, frame["text"].tolist(), settings):
                     flags[-1][r] = True
@@ -299,7 +299,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontamSettings = De
         shared = spark.sparkContext.broadcast(block)  # at most about block_terms postings
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for frame in row_batches(frames, 4_000_000):
+            for frame in row_batches(frames):
                 rows = []
                 for r, item, score, question, answer in _matches(shared.value, frame["text"].tolist(), settings):
                     rows.append((frame["doc_id"].iloc[r], item, score, question, answer))
