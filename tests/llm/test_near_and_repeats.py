@@ -97,3 +97,17 @@ def test_anchors_do_not_depend_on_segments():
     assert set(whole[0].tolist()) == set(parts[0].tolist())
     cover = lambda x: sorted(s for a, b in zip(x[2], x[3], strict=True) for s in range(a, b + 1))
     assert cover(whole) == cover(parts) == list(range(4801))
+
+
+@pytest.mark.parametrize("length", [3, 8, 21, 40])
+def test_windows_are_ordered_by_their_bytes(length):
+    rng = random.Random(length)
+    base = bytes(rng.choices(b"ab", k=60))
+    text = b"".join(base[: rng.randrange(60)] + bytes(rng.choices(b"abc\xff\x00", k=rng.randrange(9))) for _ in range(60))
+    starts = np.array([rng.randrange(len(text) - length + 1) for _ in range(700)])
+    first, lead = (np.array(rng.choices(range(3), k=700)) for _ in range(2))
+    at, group = suffix_dedup.equal_windows(np.frombuffer(text, np.uint8), starts, first.astype(np.uint64), lead, length)
+    keys = [(first[i], lead[i], text[starts[i] : starts[i] + length]) for i in range(700)]
+    assert sorted(at.tolist()) == [i for i in range(700) if keys.count(keys[i]) > 1]
+    assert [keys[i] for i in at] == sorted(keys[i] for i in at)
+    assert [keys[a] != keys[b] for a, b in zip(at[1:], at, strict=False)] == (group[1:] != group[:-1]).tolist()

@@ -6,22 +6,27 @@ are exactly the repeated strings; groups of one are dropped as soon as they aris
 
 The digits, most significant first, are
 
-1. the hash of the window's least ``gram``-byte string (its anchor) with that string's
+1. the window's least ``gram``-byte string (its anchor), by its hash, with that string's
    offset. Equal windows have equal anchors, and neighbouring windows share one, so
    about one anchor in 80 bytes stands for all windows. Anchors seen once are dropped
    with all their windows;
-2. the hash of all bytes under the anchor's windows together. Where it repeats, all of
-   these windows repeat, and none needs to be looked at by itself;
-3. for what is left, in groups that hold different surroundings of one anchor, two
-   independent hashes (96 bits) of each window's 200 bytes.
+2. for what is left, in groups that hold different surroundings of one anchor, the
+   window's bytes, eight to a digit: windows of one group are ordered by a digit, split
+   where it differs, and those left alone are dropped, up to the last digit.
 
-Each pass deals hashes to tasks; what already repeats within a batch is settled there
-and sent on once, so copies do not pile up on one task; anchors that a table of counts
-of fixed size shows to be frequent are dealt by their surroundings as well.
+Between the two, surroundings (all bytes under an anchor's windows) that repeat as a
+whole are settled by their hash: all of their windows repeat, one set of them stands for
+the rest in the second pass, and none needs to be looked at by itself.
+
+What already repeats within a batch is settled there and sent on once, so copies do not
+pile up on one task. Surroundings travel as bytes, which is less than a digit for each of
+their windows. Anchors that a table of counts of fixed size shows to be frequent are dealt
+by their surroundings, and then their windows one by one.
 
 Defined results: a null text is an empty one; texts under ``length`` bytes lose nothing;
 repeated rows are copies of each other; matches never cross rows; other columns are
-ignored; a null doc_id is kept as it is.
+ignored; a null doc_id is kept as it is. A text is held by one task at a time, with some
+40 bytes for each of its own; it may have up to 2**31 bytes.
 """
 
 from __future__ import annotations
@@ -40,7 +45,6 @@ from .common import bloom, discard, forget, in_bloom, row_batches, ship, written
 from .vectext import mix, powers
 
 _VALUES = mix(np.arange(501, 757, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-_SECOND = mix(np.arange(901, 1157, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
 
 @dataclass(frozen=True)
@@ -73,11 +77,11 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, settings: DedupSettings, segment: int = 1 << 23) -> tuple[np.ndarray, ...]:
-    """Anchor hash, surroundings hash, first and last window of each anchor of a text."""
+    """Anchor hash, surroundings hash, first and last window, and the anchor's offset in the first, of each anchor of a text."""
     length, gram = settings.length, settings.gram
     windows = len(data) - length + 1
     if windows < 1:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int32, np.int32))
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int32, np.int32, np.int32))
     rolling, parts = Rolling(data), []
     place = np.uint64((1 << 24) - 1)
     for begin in range(0, windows, segment):
@@ -90,9 +94,9 @@ def anchors(data: np.ndarray, settings: DedupSettings, segment: int = 1 << 23) -
         high = np.append(low[1:], len(at)) - 1
         lead = (at[low] - low).astype(np.uint64)
         around = rolling.of(begin + low, begin + high + length)
-        parts.append((mix(grams[at[low]]), mix(around ^ mix(lead + np.uint64(1)) ^ mix((high - low).astype(np.uint64) << np.uint64(20))), begin + low, begin + high))
-    first, around, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return first, around, low.astype(np.int32), high.astype(np.int32)
+        parts.append((mix(grams[at[low]]), mix(around ^ mix(lead + np.uint64(1)) ^ mix((high - low).astype(np.uint64) << np.uint64(20))), begin + low, begin + high, lead))
+    first, around, *places = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return first, around, *(x.astype(np.int32) for x in places)
 
 
 def _bytes_of(text) -> np.ndarray:
@@ -115,10 +119,7 @@ def _groups(keys: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _pack(first, second, names, low, high, parts: int, deal: np.ndarray) -> pd.DataFrame:
-    """Rows by destination. Of equal (first, second) in the batch one goes on, marked; the rest are settled.
-
-    ``high`` is None where every range is one window.
-    """
+    """Rows by destination. Of equal (first, second) in the batch one goes on, marked; the rest are settled."""
     order = np.lexsort((second, first))
     a, b = first[order], second[order]
     new = np.ones(len(order), dtype=bool)
@@ -135,7 +136,7 @@ def _pack(first, second, names, low, high, parts: int, deal: np.ndarray) -> pd.D
         for x, y in _groups(part[by]):
             c = chosen[by[x:y]]
             hashes = (b"", b"", b"") if settled else (first[c].tobytes(), second[c].tobytes(), many[c].tobytes())
-            rows.append((int(part[by[x]]), *hashes, *_runs(names[c]), low[c].tobytes(), b"" if high is None else high[c].tobytes(), settled))
+            rows.append((int(part[by[x]]), *hashes, *_runs(names[c]), low[c].tobytes(), high[c].tobytes(), settled))
 
     chosen = np.flatnonzero(kept)
     add(chosen, (deal[chosen] % np.uint64(parts)).astype(np.int64), False)
@@ -150,8 +151,8 @@ def _joined(group: pd.DataFrame, column: str, kind) -> np.ndarray:
 
 def _owners(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """name, low and high of every entry."""
-    low, high = _joined(group, "low", np.int32), _joined(group, "high", np.int32)
-    return np.repeat(_joined(group, "names", np.int64), _joined(group, "runs", "<i4")), low, high if len(high) else low
+    names = np.repeat(_joined(group, "names", np.int64), _joined(group, "runs", "<i4"))
+    return names, _joined(group, "low", np.int32), _joined(group, "high", np.int32)
 
 
 _RANGES = "bucket int, names binary, runs binary, low binary, high binary, state binary"
@@ -169,14 +170,18 @@ def _by_bucket(names, low, high, state, buckets: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "names", "runs", "low", "high", "state"])
 
 
-def _settle(packed: DataFrame, second_kind, table, buckets: int, settings: DedupSettings) -> DataFrame:
-    """By bucket the ranges of windows that repeat, or (with ``table``: pass 2) are still open."""
+def _frequent(first: np.ndarray, table, settings: DedupSettings) -> np.ndarray:
+    return table.value[(first >> np.uint64(64 - settings.table_bits)).astype(np.int64)] >= settings.hot
+
+
+def _settle_anchors(packed: DataFrame, table, buckets: int, settings: DedupSettings) -> DataFrame:
+    """By bucket the ranges of windows that repeat or are still open."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         done, group = group[group["settled"]], group[~group["settled"]]
         names, low, high = _owners(done)
         out = [(names, low, high, np.full(len(names), REPEATED, np.uint8))]
-        first, second, many = _joined(group, "first", np.uint64), _joined(group, "second", second_kind), _joined(group, "many", bool)
+        first, second, many = _joined(group, "first", np.uint64), _joined(group, "second", np.uint64), _joined(group, "many", bool)
         names, low, high = _owners(group)
         if len(first):
             order = np.lexsort((second, first))
@@ -185,11 +190,9 @@ def _settle(packed: DataFrame, second_kind, table, buckets: int, settings: Dedup
             outer, inner = np.cumsum(new_first) - 1, np.cumsum(new_both) - 1
             repeats = np.bincount(inner, 1 + many[order].astype(np.int64))[inner] > 1
             state = np.where(repeats, REPEATED, 0).astype(np.uint8)
-            if table is not None:
-                hot = table.value[(first[order] >> np.uint64(64 - settings.table_bits)).astype(np.int64)] >= settings.hot
-                mixed = (np.bincount(outer, new_both)[outer] > 1) | hot
-                state[mixed & ~repeats] = OPEN
-                state[mixed & repeats & new_both] = SPOKESMAN
+            mixed = (np.bincount(outer, new_both)[outer] > 1) | _frequent(first[order], table, settings)
+            state[mixed & ~repeats] = OPEN
+            state[mixed & repeats & new_both] = SPOKESMAN
             some = state > 0
             chosen = order[some]
             out.append((names[chosen], low[chosen], high[chosen], state[some]))
@@ -228,7 +231,7 @@ def _anchor_table(docs: DataFrame, settings: DedupSettings) -> DataFrame:
         for frame in row_batches(frames):
             rows = []
             for name, text in zip(frame["name"], frame["text"], strict=True):
-                first, second, low, high = anchors(_bytes_of(text), settings)
+                first, second, low, high, _ = anchors(_bytes_of(text), settings)
                 if len(first):
                     np.add.at(counts, (first >> np.uint64(64 - settings.table_bits)).astype(np.int64), 1)
                     rows.append((name, first.tobytes(), second.tobytes(), low.tobytes(), high.tobytes(), -1, len(first)))
@@ -247,31 +250,130 @@ def _deal_anchors(rows: DataFrame, parts: int, table, settings: DedupSettings) -
                 first, second = _joined(frame, "first", np.uint64), _joined(frame, "second", np.uint64)
                 low, high = _joined(frame, "low", np.int32), _joined(frame, "high", np.int32)
                 names = np.repeat(frame["name"].to_numpy(), frame["n"].to_numpy())
-                hot = table.value[(first >> np.uint64(64 - settings.table_bits)).astype(np.int64)] >= settings.hot
-                yield _pack(first, second, names, low, high, parts, mix(np.where(hot, first ^ mix(second), first)))
+                deal = np.where(_frequent(first, table, settings), first ^ mix(second), first)
+                yield _pack(first, second, names, low, high, parts, mix(deal))
 
     return rows.mapInPandas(run, _PACKED)
 
 
-def _deal_windows(docs: DataFrame, parts: int, settings: DedupSettings) -> DataFrame:
-    """Both hashes of every window in the open ranges of each text."""
+def equal_windows(data: np.ndarray, starts: np.ndarray, first: np.ndarray, lead: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that equal another, ordered by (first, lead) and their bytes, and the number of each one's group.
+
+    Digits are eight bytes, most significant first. A pass orders only groups in which the
+    digit differs; groups of one are dropped before the next.
+    """
+    words = np.ndarray(len(data), ">u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
+    at = np.lexsort((lead, first))
+    group = _numbered(first[at], lead[at])
+    for depth in range(0, length + 8, 8):
+        sizes = np.bincount(group)
+        some = sizes[group] > 1
+        at, group = at[some], group[some]
+        if depth >= length or not len(at):
+            break
+        digit = words[starts[at] + depth].astype(np.uint64) >> np.uint64(8 * max(0, depth + 8 - length))
+        differs = (group[1:] == group[:-1]) & (digit[1:] != digit[:-1])
+        split = np.zeros(group[-1] + 1, dtype=bool)
+        split[group[1:][differs]] = True
+        some = np.flatnonzero(split[group])
+        order = some[np.lexsort((digit[some], group[some]))]
+        at[some], digit[some] = at[order], digit[order]
+        group = _numbered(group, digit)
+    return at, group
+
+
+def _numbered(*keys: np.ndarray) -> np.ndarray:
+    """Numbers of the runs of equal keys."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.cumsum(new)
+
+
+def _each(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every window in ranges: the number of its range, and its place there."""
+    sizes = high.astype(np.int64) - low + 1
+    return np.repeat(np.arange(len(low)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+_WINDOWS = "part int, first binary, lead binary, many binary, names binary, runs binary, low binary, high binary, data binary, settled boolean"
+
+
+def _deal_windows(docs: DataFrame, parts: int, table, settings: DedupSettings) -> DataFrame:
+    """The bytes of each text's open ranges, by anchor; of frequent anchors each window, by a hash of its bytes."""
+    length = settings.length
+
+    def ranges(frame: pd.DataFrame) -> Iterator[tuple]:
+        """first, lead, name, low, high, place in the batch's bytes, destination."""
+        before = 0
+        for name, text, *packed in zip(frame["name"], frame["text"], frame["low"], frame["high"], strict=True):
+            lows, highs = (np.frombuffer(x, np.int32) for x in packed)
+            data = _bytes_of(text)
+            first, _, low, high, lead = anchors(data[: int(highs[-1]) + length], settings)
+            home = np.searchsorted(lows, low, side="right") - 1
+            some = (home >= 0) & (high <= highs[home])
+            first, low, high, lead = first[some], low[some], high[some], lead[some]
+            hot = _frequent(first, table, settings)
+            yield first[~hot], lead[~hot], np.full((~hot).sum(), name), low[~hot], high[~hot], before + low[~hot].astype(np.int64), mix(first[~hot]), hot[~hot]
+            if hot.any():
+                own, j = _each(low[hot], high[hot])
+                at = low[hot][own] + j
+                alone = at.astype(np.int32)
+                yield first[hot][own], (lead[hot][own] - j).astype(np.int32), np.full(len(at), name), alone, alone, before + at, Rolling(data).of(at, at + length), np.ones(len(at), dtype=bool)
+            before += len(data)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in row_batches(frames, 1_000_000):
-            parts_out = []
-            for name, text, *packed in zip(frame["name"], frame["text"], frame["low"], frame["high"], strict=True):
-                data = _bytes_of(text)
-                low, high = (np.frombuffer(x, np.int32).astype(np.int64) for x in packed)
-                sizes = high - low + 1
-                at = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                first = Rolling(data).of(at, at + settings.length)
-                second = (Rolling(data, _SECOND).of(at, at + settings.length) >> np.uint64(32)).astype(np.uint32)
-                parts_out.append((first, second, np.full(len(at), name), at.astype(np.int32)))
-            if parts_out:
-                first, second, names, at = (np.concatenate(x) for x in zip(*parts_out, strict=True))
-                yield _pack(first, second, names, at, None, parts, first)
+            if not len(frame):
+                continue
+            data = np.concatenate([_bytes_of(text) for text in frame["text"]])
+            first, lead, names, low, high, place, deal, hot = (np.concatenate(x) for x in zip(*ranges(frame), strict=True))
+            part = (deal % np.uint64(parts)).astype(np.int64)
+            many, settled = np.zeros(len(first), dtype=bool), np.zeros(len(first), dtype=bool)
+            some = np.flatnonzero(hot)
+            if len(some):  # of a frequent anchor's windows that are equal within the batch one goes on, marked
+                at, group = equal_windows(data, place[some], first[some], lead[some], length)
+                head = np.concatenate(([True], group[1:] != group[:-1]))[: len(at)]
+                many[some[at[head]]] = True
+                settled[some[at[~head]]] = True
+            rows = []
+            for done in (False, True):
+                chosen = np.flatnonzero(settled == done)
+                by = chosen[np.argsort(part[chosen], kind="stable")]
+                for x, y in _groups(part[by]):
+                    c = by[x:y]
+                    own, j = _each(low[c], high[c] + (length - 1))
+                    told = (b"", b"", b"", b"") if done else (first[c].tobytes(), lead[c].tobytes(), many[c].tobytes(), data[place[c][own] + j].tobytes())
+                    rows.append((int(part[c[0]]), *told[:3], *_runs(names[c]), low[c].tobytes(), high[c].tobytes(), told[3], done))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _WINDOWS.split(", ")])
 
-    return docs.mapInPandas(run, _PACKED)
+    return docs.mapInPandas(run, _WINDOWS)
+
+
+def _settle_windows(packed: DataFrame, buckets: int, settings: DedupSettings) -> DataFrame:
+    """By bucket the ranges of windows whose bytes repeat."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        done, group = group[group["settled"]], group[~group["settled"]]
+        names, low, high = _owners(done)
+        out = [(names, low, high)]
+        names, low, high = _owners(group)
+        if len(names):
+            sizes = high.astype(np.int64) - low + settings.length
+            own, j = _each(low, high)
+            first, lead = _joined(group, "first", np.uint64), _joined(group, "lead", np.int32)
+            repeats = _joined(group, "many", bool)[own]
+            at, _ = equal_windows(_joined(group, "data", np.uint8), (np.cumsum(sizes) - sizes)[own] + j, first[own], lead[own] - j, settings.length)
+            repeats[at] = True
+            some = np.flatnonzero(repeats)
+            fresh = np.ones(len(some), dtype=bool)
+            fresh[1:] = (np.diff(some) > 1) | (own[some[1:]] != own[some[:-1]])
+            a, b = some[fresh], some[np.append(fresh[1:], True)] if len(some) else some
+            out.append((names[own[a]], (low[own[a]] + j[a]).astype(np.int32), (low[own[a]] + j[b]).astype(np.int32)))
+        names, low, high = (np.concatenate(x) for x in zip(*out, strict=True))
+        return _by_bucket(names, low, high, np.full(len(names), REPEATED, np.uint8), buckets)
+
+    return packed.groupBy("part").applyInPandas(run, _RANGES)
 
 
 def covered(low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -328,7 +430,7 @@ def deduplicate(docs: DataFrame, settings: DedupSettings = DedupSettings()) -> D
     least = spark.sparkContext.defaultParallelism
     parts = max(least, math.ceil(int(counts.sum()) / settings.part_rows))
     buckets = max(least, math.ceil(int(counts.sum()) * 4 / settings.part_rows))
-    live = written(_settle(_deal_anchors(packed.where("bucket < 0"), parts, table, settings), np.uint64, table, buckets, settings), "live")
+    live = written(_settle_anchors(_deal_anchors(packed.where("bucket < 0"), parts, table, settings), table, buckets, settings), "live")
     forget(spark)
     discard(packed)
 
@@ -336,7 +438,7 @@ def deduplicate(docs: DataFrame, settings: DedupSettings = DedupSettings()) -> D
     windows = todo.agg(F.sum("windows")).first()[0] or 0
     parts = max(least, math.ceil(windows / settings.part_rows))
     texts = in_bloom(docs, "name", bloom(todo, "name"), "_todo").where("_todo").select("name", "text")
-    singles = written(_settle(_deal_windows(texts.join(todo, "name"), parts, settings), np.uint32, None, buckets, settings), "windows")
+    singles = written(_settle_windows(_deal_windows(texts.join(todo, "name"), parts, table, settings), buckets, settings), "windows")
     forget(spark)
 
     hits = written(_gathered(live.unionAll(singles), (REPEATED, SPOKESMAN)), "hits")
