@@ -12,7 +12,9 @@ distance d(q, e) when |d(q, parent) - d(e, parent)| - radius already exceeds the
 best distance. Distances only prune, with a margin for rounding; scores are exact
 integers, and ties go to the smaller id.
 
-Queries form blocks of bounded size; each block meets each shard once. A first round
+Queries form blocks of bounded size; each block meets each shard once. Blocks hold as many
+rows as shards do, so that pages (copied for each block) and queries (for each shard) cost
+alike; there are more only where shards and blocks would be fewer than cores. A first round
 searches one shard for each query, and its k-th score bounds the search of the others.
 
 Defined results: vectors that are null or hold null or non-finite components take no
@@ -45,7 +47,8 @@ class TreeSettings:
     page: int = 96
     fanout: int = 24
     shard_rows: int = 40_000
-    block_rows: int = 2_000
+    block_rows: int = 40_000
+    spread_rows: int = 500  # no block is made smaller than this for the sake of idle cores
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, settings: TreeSettings) -> DataFrame:
@@ -217,7 +220,8 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     top = float(top) * (1 + 1e-12)
     shards = -(-rows // settings.shard_rows)
     pages = written(build(whole, shards, top, settings), "pages")
-    blocks = -(-asked // settings.block_rows)
+    spread = min(-(-spark.sparkContext.defaultParallelism // shards), -(-asked // settings.spread_rows))
+    blocks = max(-(-asked // settings.block_rows), spread)
     queries = whole.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     home = queries.withColumn("shard", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(shards)).cast("int"))
