@@ -44,7 +44,7 @@ from .common import ship, written
 class TreeSettings:
     k: int = 5
     scale: int = 256
-    page: int = 96
+    page: int = 512
     fanout: int = 24
     shard_rows: int = 40_000
     block_rows: int = 40_000
