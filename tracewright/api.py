@@ -83,11 +83,12 @@ def _at_places(net: nets.FlowNet, otype: str, measure: DataFrame) -> DataFrame:
     return measure.join(at, ["variant_id", "role"])
 
 
-def annotations(log: EventLog, found: Discovery, parameters: MinerParameters) -> DataFrame:
+def annotations(log: EventLog, found: Discovery, parameters: MinerParameters, check: bool = True) -> DataFrame:
     """(place, transition, variant_id, rank, line): what is printed at places and transitions, in order of ``rank``.
 
     A line belongs to a place or a transition. A later measure of a kind replaces an earlier
-    one of the same variant: counts, masses, explicit or implicit waste.
+    one of the same variant: counts, masses, explicit or implicit waste. A variant whose
+    objects of a type are initial and final is an error, unless ``check`` is off.
     """
     p, masses, parts = parameters, log.masses(), []
     live = found.events.join(found.variants.select("variant_id"), "variant_id", "left_semi")
@@ -100,9 +101,9 @@ def annotations(log: EventLog, found: Discovery, parameters: MinerParameters) ->
 
     pair = lambda what, average: F.concat(F.lit(f"{what}: avg "), number(F.col(average)), F.lit(" / total "), number(F.col("total")))
     for otype in p.annotate_objects_count:
-        add(_at_places(found.net, otype, waste.type_count(found.roles, live, otype)), "count", F.concat(F.lit(f"{otype}: "), F.col("total").cast("string")), True)
+        add(_at_places(found.net, otype, waste.type_count(found.roles, live, otype, check)), "count", F.concat(F.lit(f"{otype}: "), F.col("total").cast("string")), True)
     for otype in p.annotate_objects_mass:
-        add(_at_places(found.net, otype, waste.type_mass(found.roles, masses, live, otype)), "mass", pair(f"{otype} mass", "rounded"), True)
+        add(_at_places(found.net, otype, waste.type_mass(found.roles, masses, live, otype, check)), "mass", pair(f"{otype} mass", "rounded"), True)
     for activity in p.annotate_explicit:
         add(waste.explicit_waste(live, log.events, activity, "mass"), "explicit", pair("Explicit mass", "average"), False)
     for activity in p.annotate_implicit_count:
