@@ -111,3 +111,21 @@ def test_windows_are_ordered_by_their_bytes(length):
     assert sorted(at.tolist()) == [i for i in range(700) if keys.count(keys[i]) > 1]
     assert [keys[i] for i in at] == sorted(keys[i] for i in at)
     assert [keys[a] != keys[b] for a, b in zip(at[1:], at, strict=False)] == (group[1:] != group[:-1]).tolist()
+
+
+def test_a_pair_is_listed_by_runs_of_shared_shingles_not_by_tasks(spark):
+    rng = random.Random(5)
+    text = [f"v{rng.randrange(10**6)}" for _ in range(900)]
+    rows = [(i, " ".join([*text, f"end{i}"])) for i in range(6)]  # 15 pairs, each with some 225 shared shingles in its prefixes
+    known = np.empty(0, np.uint64), np.empty(0, np.int64)
+    shared = spark.sparkContext.broadcast(known)
+    tiles = ngram_join._tiles(ngram_join._postings(frame(spark, rows), shared, 64, JoinSettings()), shared, JoinSettings()).toPandas()
+    assert len(tiles[["a", "b"]].drop_duplicates()) == 15
+    assert len(tiles) <= 15 * 4  # 15 for each of 64 tasks before
+
+
+def test_a_shingle_after_a_dealt_one_is_no_part_of_a_run():
+    p = np.array([5, 6, 7], dtype=np.uint64)
+    known = np.array([6], dtype=np.uint64), np.array([10])
+    ahead = ngram_join._ahead(p, known, replace(JoinSettings(), hot=10))
+    assert ahead[0] == 0 and ahead[1] != 0 and ahead[2] == 0
