@@ -10,7 +10,7 @@ from pyspark.sql.datasource import EqualTo, In, IsNotNull, IsNull, Not, StringCo
 
 from tracewright.model import EventLog
 from tracewright.sources import ocel
-from tracewright.sources.files import local_path
+from tracewright.sources.files import Part, TablesWriter, TextWriter, local_path
 from tracewright.sources.ocel import read_log, write_log
 
 ODD = 'a <b> & "c" \'d\' é 中'
@@ -96,3 +96,21 @@ def test_filters_reach_the_file(spark, log, tmp_path):
         assert same(filtered) == same(plain) and filtered.count() > 0
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+@pytest.mark.parametrize("kind", ["text", "tables"])
+def test_parts_go_as_they_are_copied(tmp_path, monkeypatch, kind):
+    writer = TextWriter(str(tmp_path / "whole")) if kind == "text" else TablesWriter(str(tmp_path / "whole"), {"t": ["c"]})
+    rows = [("<a/>",), ("é",)] if kind == "text" else [("t", ["<a/>"]), ("t", ["é"])]
+    made = iter(range(3))
+    monkeypatch.setattr(writer, "_part", lambda: (os.makedirs(writer.folder, exist_ok=True), Part(n := next(made), os.path.join(writer.folder, f"part{n}")))[1])
+    parts = [writer.write(iter(rows)) for _ in range(3)]
+    left = []
+    monkeypatch.setattr(writer, "_finish", lambda path, finish=writer._finish: (left.extend(os.listdir(writer.folder)), finish(path)))
+    writer.commit(parts)
+    assert left == ["whole"]  # the parts, as large as the file, before
+    if kind == "text":
+        assert (tmp_path / "whole").read_text(encoding="utf-8") == "<a/>\né\n" * 3
+    else:
+        with sqlite3.connect(tmp_path / "whole") as db:
+            assert [r[0] for r in db.execute("SELECT c FROM t ORDER BY rowid")] == ["<a/>", "é"] * 3
