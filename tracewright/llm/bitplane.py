@@ -23,6 +23,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -261,14 +262,23 @@ class WordEncoder:
             self.used = need
             self.chars += sum(map(len, part))
 
+    def _codes_of(self, words: list[str]) -> np.ndarray:
+        """Every word's code; each word is looked up once, and only unknown ones are learned and looked up again."""
+        code = np.fromiter(map(self.codes.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(code < 0)
+        if len(missing):
+            unknown = [words[k] for k in missing.tolist()]
+            self._learn(unknown)
+            code[missing] = np.fromiter(map(self.codes.__getitem__, unknown), dtype=np.int64, count=len(unknown))
+        return code
+
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text, end id included."""
         if len(self.codes) > self.most or self.chars > self.most_chars:
             self._clear()
         split = [t.replace("\n", " ").split(" ") if isinstance(t, str) and t else [] for t in texts]
-        words = [w for part in split for w in part]
-        self._learn(words)
-        code = np.fromiter(map(self.codes.__getitem__, words), dtype=np.int64, count=len(words))
+        words = list(chain.from_iterable(split))
+        code = self._codes_of(words)
         sizes = self.sizes[code] if len(code) else np.empty(0, np.int64)
         ends = np.concatenate(([0], np.cumsum(sizes)))
         places = np.repeat(self.starts[code] - ends[:-1], sizes) + np.arange(ends[-1]) if len(code) else np.empty(0, np.int64)
