@@ -1,5 +1,6 @@
 """Logs as single files: parts of tasks, commits, failures, and filters that reach SQLite."""
 
+import gzip
 import os
 import sqlite3
 from datetime import datetime
@@ -114,3 +115,17 @@ def test_parts_go_as_they_are_copied(tmp_path, monkeypatch, kind):
     else:
         with sqlite3.connect(tmp_path / "whole") as db:
             assert [r[0] for r in db.execute("SELECT c FROM t ORDER BY rowid")] == ["<a/>", "é"] * 3
+
+
+@pytest.mark.parametrize("suffix", ["xml.gz", "ocel.gz"])
+def test_a_compressed_log_comes_back_whole_and_stays_small(spark, log, tmp_path, suffix):
+    path, plain = str(tmp_path / f"log.{suffix}"), str(tmp_path / "plain.xml")
+    write_log(log, path)
+    write_log(log, plain)
+    got = read_log(spark, path)
+    assert content(got) == content(log)
+    assert [r["eid"] for r in got.events.orderBy("seq").collect()] == [f"e{i}" for i in range(41)]
+    assert gzip.decompress((tmp_path / f"log.{suffix}").read_bytes()) == (tmp_path / "plain.xml").read_bytes()
+    assert os.path.getsize(path) * 3 < os.path.getsize(plain)
+    with pytest.raises(ValueError, match="no writer"):
+        write_log(log, str(tmp_path / "log.db.gz"))
